@@ -103,7 +103,10 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
-    sample = pages.orderBy(F.xxhash64("page_id", F.lit(5)), "page_id", F.length("html")).limit(SAMPLE_RECORDS).select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).collect()
+    # the sample's ids first (numbers only), then their pages: what reaches the driver does not grow with the tasks
+    chosen = pages.select("page_id").filter("page_id is not null").orderBy(F.xxhash64("page_id", F.lit(5)), "page_id").limit(SAMPLE_RECORDS).distinct()
+    sample = pages.join(F.broadcast(chosen), "page_id").select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
+    sample = sorted(sample.dropDuplicates(["page_id"]).collect(), key=lambda r: r["page_id"])
     dictionary = build_dictionary([record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), None, False) for r in sample])
 
     # equal payloads: one row per digest after partial aggregation; only digests that occur twice go on
