@@ -19,10 +19,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import pick, stream, stream_task
+from brindle.llm.common import pick, ship, stream, stream_task
 
 BINS = 256
 BITS = 4
@@ -119,16 +120,42 @@ def with_edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     # One row per range at most goes to the driver, whatever the number of documents.
     bounds = docs.filter("doc_id is not null").select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000).alias("b")).first()["b"]
     bounds = sorted(set(bounds or []))
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else None
-    part = F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col("doc_id"))) + 1, F.lit(0)) if bounds else F.lit(0)
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(part)
-    heads = docs.groupBy(part.alias("part")).agg(F.min("doc_id").alias("head")).orderBy("part").collect()
-    parts = [r["part"] for r in heads]
+    # which range a row belongs to is a binary search, so its cost does not grow with the number of ranges
+    edges = np.array(bounds, np.int64)
+
+    def part_of(ids: pa.Array) -> np.ndarray:
+        at = np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False), "right") + 1
+        at[ids.is_null().to_numpy(zero_copy_only=False)] = 0
+        return at.astype(np.int32)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            parts = part_of(ids)
+            for p in np.unique(parts).tolist():
+                head = min((i for i in ids.filter(pa.array(parts == p)).to_pylist() if i is not None), default=None)
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([head], pa.int64())], ["part", "head"])
+
+    ship(spark)
+    heads = docs.select("doc_id").mapInArrow(least, "part int, head long").groupBy("part").agg(F.min("head").alias("head")).orderBy("part").collect()
     # the first row of each range also goes, as a guard, to the range before it (cyclically)
-    guard = F.array(*[F.struct(F.lit(h["head"]).cast("long").alias("head"), F.lit(parts[i - 1]).alias("to"), F.lit(h["part"]).alias("own")) for i, h in enumerate(heads)]) if heads else F.array().cast("array<struct<head:bigint,to:int,own:int>>")
-    own = F.array(F.struct(part.alias("part"), F.lit(False).alias("guard")))
-    extra = F.transform(F.filter(guard, lambda g: (g["own"] == part) & g["head"].eqNullSafe(F.col("doc_id"))), lambda g: F.struct(g["to"].alias("part"), F.lit(True).alias("guard")))
-    dealt = docs.select("doc_id", "text", F.explode(F.concat(own, extra)).alias("x")).select("x.part", "x.guard", "doc_id", "text")
+    guards = {(h["part"], h["head"]): heads[i - 1]["part"] for i, h in enumerate(heads)}
+    first = {h for _, h in guards}
+    known = np.array(sorted(h for h in first if h is not None), np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "guard", "doc_id", "text"]
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            parts = part_of(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(np.zeros(len(parts), bool)), ids, texts], names)
+            maybe = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), known) | (ids.is_null().to_numpy(zero_copy_only=False) if None in first else False)
+            rows = [(k, guards[key]) for k in np.flatnonzero(maybe).tolist() if (key := (int(parts[k]), ids[k].as_py())) in guards]
+            if rows:
+                at = pa.array([k for k, _ in rows])
+                yield pa.RecordBatch.from_arrays([pa.array([to for _, to in rows], pa.int32()), pa.array([True] * len(rows)), ids.take(at), texts.take(at)], names)
+
+    dealt = docs.mapInArrow(deal, "part int, guard boolean, doc_id long, text string")
     dealt = dealt.repartition(n, "part").sortWithinPartitions("part", "guard", F.asc_nulls_first("doc_id"), F.coalesce("text", F.lit("")))
 
     def task(slices: Iterator[list[list]]) -> Iterator[list[tuple]]:
