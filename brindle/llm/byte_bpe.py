@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import pick, stream
+from brindle.llm.common import pick, stream, warm
 
 #: Chunks remembered by one Python worker; a full memory is emptied, so its size does not grow with the input.
 MEMORY_CHUNKS = 500_000
@@ -139,10 +139,9 @@ def _fold_long(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[part[i]] for i in range(n) if alive[i]]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
-    """One per Python worker and vocabulary: its memory serves all tasks of the worker."""
-    return Encoder(path, pattern)
+    """One per Python worker: its memory serves all tasks of the worker until another operator runs there."""
+    return warm("byte_bpe", (path, pattern), lambda: Encoder(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -153,7 +152,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for i, t in zip(ids, texts):
             yield i, e.encode(t or "")
 
-    return stream(pick(docs, ("doc_id", "long"), ("text", "string")), run, "doc_id long, ids binary")
+    return stream(pick(docs, ("doc_id", "long"), ("text", "string")), run, "doc_id long, ids binary", keep="byte_bpe")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -164,7 +163,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for i, b in zip(ids, packed):
             yield i, e.decode(b or b"")
 
-    return stream(pick(encoded, ("doc_id", "long"), ("ids", "binary")), run, "doc_id long, bytes binary")
+    return stream(pick(encoded, ("doc_id", "long"), ("ids", "binary")), run, "doc_id long, bytes binary", keep="byte_bpe")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -176,7 +175,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             packed = e.encode(t or "")
             yield i, len(packed) // 4, sha(packed).hexdigest(), sha(e.decode(packed)).hexdigest()
 
-    return stream(pick(docs, ("doc_id", "long"), ("text", "string")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return stream(pick(docs, ("doc_id", "long"), ("text", "string")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keep="byte_bpe")
 
 
 #: Buckets of the literal rank map: a Spark map is searched from its start, so each bucket must hold few entries.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -18,6 +20,8 @@ SLICE_ROWS = 256
 
 _scratch: dict[str, str] = {}
 _shipped: set[str] = set()
+#: What this Python worker keeps between tasks: (key, state) by operator name.
+_warm: dict[str, tuple[object, object]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,12 +57,32 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def warm(name: str, key: object, make: Callable[[], object]) -> object:
+    """State that a Python worker keeps from task to task, one per operator name; another key replaces it."""
+    if name not in _warm or _warm[name][0] != key:
+        _warm[name] = key, make()
+    return _warm[name][1]
+
+
+def release(keep: str | None) -> None:
+    """Drop what other operators keep in this worker: all operators of a session share its workers, and their states
+    together need not fit. Memory freed goes back to the system where the C library can do that."""
+    others = [name for name in _warm if name != keep]
+    for name in others:
+        del _warm[name]
+    if others:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def pick(df: DataFrame, *cols: tuple[str, str]) -> DataFrame:
     """Only the named columns, cast to the types the operator works on; extra columns cannot clash."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in cols])
 
 
-def stream(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: T.StructType | str) -> DataFrame:
+def stream(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: T.StructType | str, keep: str | None = None) -> DataFrame:
     """Map slices of rows: fn gets one Python list per input column and yields output tuples.
 
     No shuffle, memory bounded by a slice (plus what fn keeps), and a lost task can be run again on its own."""
@@ -67,11 +91,12 @@ def stream(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: T.StructTy
         for cols in slices:
             yield list(fn(*cols))
 
-    return stream_task(df, task, schema)
+    return stream_task(df, task, schema, keep)
 
 
-def stream_task(df: DataFrame, task: Callable[[Iterator[list[list]]], Iterator[list[tuple]]], schema: T.StructType | str) -> DataFrame:
-    """As stream, for functions that keep something through a task: task gets an iterator of slices and yields row lists."""
+def stream_task(df: DataFrame, task: Callable[[Iterator[list[list]]], Iterator[list[tuple]]], schema: T.StructType | str, keep: str | None = None) -> DataFrame:
+    """As stream, for functions that keep something through a task: task gets an iterator of slices and yields row lists.
+    keep: name of the state (see `warm`) that tasks leave in their worker for later ones."""
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = _arrow_schema(out)
     ship(df.sparkSession)
@@ -82,6 +107,7 @@ def stream_task(df: DataFrame, task: Callable[[Iterator[list[list]]], Iterator[l
                 yield [c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keep)
         for rows in task(slices(batches)):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)

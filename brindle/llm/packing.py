@@ -23,12 +23,11 @@ import bisect
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from brindle.llm.common import pick, stream_task
+from brindle.llm.common import pick, stream_task, warm
 
 TIERS = (256, 512, 1024)
 #: Tokens of a step group.
@@ -94,9 +93,8 @@ class TokenizerChunks:
         return [next(whole).tobytes() + (b"".join(map(get, next(rest))) if chunks else b"") for chunks in split]
 
 
-@lru_cache(maxsize=2)
 def chunk_encoder(path: str) -> TokenizerChunks:
-    return TokenizerChunks(path)
+    return warm("packing", path, lambda: TokenizerChunks(path))
 
 
 class Packer:
@@ -215,4 +213,4 @@ def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, step_tokens
         packer.pack(final=True)
         yield packer.flush()
 
-    return stream_task(pick(docs, ("doc_id", "long"), ("text", "string")), task, PIECE + (", ids binary" if with_ids else ""))
+    return stream_task(pick(docs, ("doc_id", "long"), ("text", "string")), task, PIECE + (", ids binary" if with_ids else ""), keep="packing")

@@ -446,3 +446,17 @@ def test_query_runs_over_the_whole_table(name, spark):
 def test_cut_goes_to_the_shared_folder(spark):
     df = common.cut(spark.range(3), "t")
     assert df.count() == 3 and all(common.shared_dir(spark).removeprefix("file://") in f for f in df.inputFiles())
+
+
+def test_a_worker_keeps_the_state_of_one_operator(monkeypatch):
+    from brindle.llm import common
+
+    monkeypatch.setattr(common, "_warm", {})
+    first = common.warm("a", 1, lambda: [1])
+    assert common.warm("a", 1, lambda: [2]) is first and common.warm("a", 2, lambda: [3]) == [3]
+    common.release("a")
+    assert common.warm("a", 2, lambda: [4]) == [3]
+    common.release("b")
+    assert common.warm("a", 2, lambda: [5]) == [5]
+    common.release(None)
+    assert not common._warm
