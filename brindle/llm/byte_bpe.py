@@ -6,7 +6,7 @@ decoding concatenates the binary pieces of the ids.
 Two forms of the same fold are here:
 
 * ``fold_merges_sql`` is the fold as Spark higher-order functions (``aggregate`` over a merge counter, ``transform`` /
-  ``zip_with`` over the pieces, ranks in a literal bucketed map). It is used for the words of a dictionary table.
+  ``zip_with`` over the pieces, ranks in a literal bucketed map). No query uses it; tests hold it against the other.
 * ``Encoder`` is the fold over a Python byte array. ``encode`` uses it, because going back from a table of distinct
   words to whole documents needs two shuffles of every word occurrence, which is several times the input (README).
 
