@@ -51,10 +51,16 @@ LABELLED = (
     (6, 1.0, 60, 0.0, 40, 0.0, 0, 1, 1, 1), (20, 0.6, 30, 0.0, 30, 0.1, 0, 1, 1, 1), (5, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 1), (15, 0.0, 1, 1.0, 12, 0.0, 0, 1, 1, 1),
     # outside of an article element that the page has
     (9, 0.0, 1, 1.0, 12, 0.0, 0, 0, 1, 0), (12, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 0), (3, 1.0, 2, 1.0, 3, 1.0, 0, 0, 1, 0), (40, 0.0, 60, 0.0, 9, 0.0, 0, 0, 1, 0), (25, 0.1, 4, 1.0, 30, 0.0, 0, 0, 1, 0),
+    # the article element: long paragraphs beside long, short, linked or no neighbours
+    (40, 0.0, 60, 0.0, 9, 0.0, 0, 1, 1, 1), (14, 0.0, 108, 0.0, 2, 0.0, 0, 1, 1, 1), (25, 0.1, 60, 0.0, 0, 0.0, 0, 1, 1, 1), (150, 0.0, 130, 0.0, 7, 0.0, 0, 1, 1, 1), (60, 0.0, 300, 0.0, 18, 0.0, 0, 1, 1, 1), (30, 0.3, 46, 0.0, 1, 1.0, 0, 1, 1, 1),
+    (25, 0.1, 4, 1.0, 30, 0.0, 0, 1, 1, 1), (60, 0.0, 2, 1.0, 60, 0.0, 0, 1, 1, 1), (120, 0.0, 9, 0.8, 20, 0.0, 0, 1, 1, 1), (40, 0.2, 20, 1.0, 0, 0.0, 0, 1, 1, 1), (17, 0.0, 60, 1.0, 40, 0.0, 0, 1, 1, 1),
+    # running text outside of it
+    (40, 0.0, 30, 0.0, 5, 0.0, 0, 0, 1, 1), (20, 0.0, 9, 0.0, 0, 0.0, 0, 0, 1, 1), (60, 0.0, 60, 0.0, 60, 0.0, 0, 0, 1, 1), (40, 0.1, 30, 0.0, 45, 0.0, 0, 0, 1, 1), (20, 0.0, 60, 0.0, 25, 0.0, 0, 0, 1, 1), (15, 0.0, 9, 0.0, 60, 0.0, 0, 0, 1, 1), (120, 0.0, 2, 0.0, 30, 0.1, 0, 0, 1, 1),
     # pages without one: words and links of the block and its neighbours decide
     (60, 0.0, 9, 0.0, 45, 0.0, 0, 0, 0, 1), (45, 0.05, 60, 0.0, 30, 0.0, 0, 0, 0, 1), (18, 0.0, 40, 0.0, 50, 0.0, 0, 0, 0, 1), (30, 0.2, 20, 0.1, 25, 0.0, 0, 0, 0, 1),
     (3, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 1), (1, 0.0, 25, 0.0, 30, 0.0, 0, 0, 0, 1), (7, 0.0, 1, 1.0, 80, 0.0, 0, 0, 0, 1), (8, 0.0, 2, 1.0, 35, 0.0, 0, 0, 0, 1), (20, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 1), (25, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
     (40, 0.0, 2, 1.0, 2, 0.0, 0, 0, 0, 1), (30, 0.0, 2, 0.0, 2, 1.0, 0, 0, 0, 1), (120, 0.0, 3, 1.0, 1, 0.0, 0, 0, 0, 1), (55, 0.1, 1, 0.0, 3, 1.0, 0, 0, 0, 1), (80, 0.0, 0, 0.0, 4, 1.0, 0, 0, 0, 1), (200, 0.05, 5, 0.0, 5, 0.0, 0, 0, 0, 1),
+    (40, 0.0, 60, 0.0, 9, 0.0, 0, 0, 0, 1), (25, 0.0, 108, 0.0, 2, 0.0, 0, 0, 0, 1), (60, 0.1, 60, 0.0, 0, 0.0, 0, 0, 0, 1), (150, 0.0, 130, 0.0, 7, 0.0, 0, 0, 0, 1), (30, 0.0, 46, 0.0, 3, 1.0, 0, 0, 0, 1), (25, 0.1, 4, 1.0, 30, 0.0, 0, 0, 0, 1), (60, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1),
     (2, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 1), (5, 0.0, 120, 0.0, 90, 0.0, 0, 0, 0, 1), (9, 0.0, 55, 0.1, 25, 0.0, 0, 0, 0, 1),
     (3, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0), (2, 1.0, 30, 0.0, 3, 0.0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 5, 0.0, 0, 0, 0, 0), (8, 0.9, 90, 0.0, 60, 0.0, 0, 0, 0, 0), (35, 0.8, 4, 1.0, 3, 1.0, 0, 0, 0, 0),
     (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (6, 0.8, 40, 0.0, 5, 1.0, 0, 0, 0, 0), (15, 0.7, 3, 1.0, 9, 0.8, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),

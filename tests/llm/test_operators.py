@@ -221,6 +221,33 @@ def test_html_pages():
         html_extract.main_text(broken)
 
 
+def test_html_keeps_long_paragraphs_before_short_blocks():
+    long = "word " * 107 + "word"
+    for before in (long, "one two", "<a>Home</a>"):
+        for after in ("", "<h2>Next</h2>", "<p>A short one.</p>", f"<p>{long}</p>"):
+            for n in (14, 17, 40, 150):
+                text = " ".join(["para"] * n)
+                assert text in html_extract.main_text(f"<nav>menu</nav><article><p>{before}</p><p>{text}</p>{after}</article><footer>(c) x</footer>")
+                if n > 20:
+                    assert text in html_extract.main_text(f"<body><p>{before}</p><p>{text}</p>{after}</body>")
+
+
+def test_html_keeps_every_paragraph_of_the_articles():
+    import pyarrow.parquet as pq
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    n = 0
+    for page in pq.read_table(f"{folder}/pages.parquet").column("html").to_pylist():
+        text = html_extract.main_text(page or "")
+        for b in html_extract.blocks(page or ""):
+            if b.in_main and not b.apart:
+                n += 1
+                assert b.text in text
+    assert n > 20_000
+
+
 def test_html_table(spark, nothing):
     df = spark.createDataFrame([(None, None, None), (1, "u", "<article><p>hello</p></article>"), (1, "u", "<article><p>hello</p></article>")], "html string, page_id long, url string".replace("html string, page_id long, url string", "page_id long, url string, html string"))
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_extract.extract(df).collect()) == [(0, "", 0), (1, "hello", 5), (1, "hello", 5)]
