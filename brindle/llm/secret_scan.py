@@ -2,9 +2,11 @@
 
 Labelled credentials of each format are put into a prefix tree; statistically compatible states are merged (ALERGIA with
 Hoeffding bounds) into a probabilistic automaton; every candidate string of a text is scored by its likelihood under each
-automaton against a background of even characters. A candidate above the threshold gives a span of kind `grammar`.
+automaton against a background of even characters. Candidates begin at the start of a run of credential characters, after a
+separator in it, and wherever a format's literal beginning stands; they end where the automaton accepts. A candidate above the
+threshold gives a span of kind `grammar`, up to the last end that its automaton accepts.
 
-The base kinds assign, access and hex are fixed patterns and always stay; a grammar span never overlaps a base span.
+The base kinds assign, access and hex are fixed patterns and always stay; they are cut out of grammar spans.
 
 One pass over whole texts without a shuffle. Defined results: a null or empty text has no spans; repeated rows are scanned
 alike; extra columns are ignored (kept by `redact`); an empty table stays empty. Offsets are code points, end exclusive.
@@ -31,7 +33,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_RUN = re.compile(r"[0-9a-f]{32}")
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}+")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}+")
+_SEPARATOR = re.compile(r"[=/.+-]")
+#: Characters of the shortest candidate.
+LEAST = 16
 
 _ALNUM = string.ascii_letters + string.digits
 #: Formats of the labelled credentials: (name, parts); a part is a literal or (alphabet, length). Fixed values.
@@ -95,6 +100,7 @@ class Automaton:
                 s = self.next[s][kind]
             self.ends[s] += 1
         self.states = self._merge_states()
+        self._steps: dict[tuple[int, str], tuple[float, int] | None] = {}
 
     def total(self, s: int) -> int:
         return self.ends[s] + sum(self.count[s].values())
@@ -155,18 +161,51 @@ class Automaton:
             else:
                 red.append(q)
 
-    def log_likelihood(self, word: str) -> float:
+    def _step(self, s: int, c: str) -> tuple[float, int] | None:
         """Witten-Bell smoothing: the characters seen in a class at a state, then the whole class evenly."""
-        s, out = 0, 0.0
-        for c in word:
+        if (s, c) not in self._steps:
             kind, width = _class(c)
             if kind not in self.next[s]:
+                self._steps[s, c] = None
+            else:
+                in_kind, kinds = self._of_kind(s, kind), sum(_class(x)[0] == kind for x in self.count[s])
+                p = math.log(in_kind / self.total(s)) + math.log((self.count[s].get(c, 0) + kinds / width) / (in_kind + kinds))
+                self._steps[s, c] = p, self.next[s][kind]
+        return self._steps[s, c]
+
+    def log_likelihood(self, word: str) -> float:
+        s, out = 0, 0.0
+        for c in word:
+            step = self._step(s, c)
+            if step is None:
                 return REJECTED
-            in_kind, kinds = self._of_kind(s, kind), sum(_class(x)[0] == kind for x in self.count[s])
-            out += math.log(in_kind / self.total(s)) + math.log((self.count[s].get(c, 0) + kinds / width) / (in_kind + kinds))
-            s = self.next[s][kind]
+            out += step[0]
+            s = step[1]
         return out + (math.log(self.ends[s] / self.total(s)) if self.ends[s] else REJECTED)
 
+    def literal(self) -> str:
+        """The one string with which all labelled words begin."""
+        s, out, seen = 0, "", set()
+        while s not in seen and not self.ends[s] and len(self.count[s]) == 1:
+            seen.add(s)
+            c = next(iter(self.count[s]))
+            out += c
+            s = self.next[s][_class(c)[0]]
+        return out
+
+    def reach(self, word: str, at: int) -> tuple[float, int]:
+        """The best score of word[at:end] over the accepted ends that leave LEAST characters, and the last of these ends."""
+        s, out, best, last = 0, 0.0, REJECTED, at
+        for i in range(at, len(word)):
+            step = self._step(s, word[i])
+            if step is None:
+                break
+            out += step[0]
+            s = step[1]
+            if self.ends[s] and i + 1 - at >= LEAST:
+                best, last = max(best, out + math.log(self.ends[s] / self.total(s)) + BACKGROUND * (i + 2 - at)), i + 1
+        return best, last
+
 
 @lru_cache(maxsize=1)
 def automata() -> dict[str, Automaton]:
@@ -174,6 +213,12 @@ def automata() -> dict[str, Automaton]:
     return {name: Automaton(words) for name, words in labelled_credentials().items()}
 
 
+@lru_cache(maxsize=1)
+def beginnings() -> re.Pattern:
+    """Finds every place where the literal beginning of a format stands."""
+    return re.compile("(?=" + "|".join(re.escape(x) for x in sorted({a.literal() for a in automata().values()} - {""})) + ")")
+
+
 def score(candidate: str) -> tuple[float, str]:
     """Nats by which the likeliest format beats the background, and the format."""
     even = -BACKGROUND * (len(candidate) + 1)
@@ -198,15 +243,35 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def _credentials(word: str) -> list[tuple[int, int]]:
+    """(start, end) of the credentials in a run; one that begins inside another ends it, unless it lies within it."""
+    out: list[tuple[int, int]] = []
+    for at in sorted({0, *(m.end() for m in _SEPARATOR.finditer(word)), *(m.start() for m in beginnings().finditer(word))}):
+        if len(word) - at < LEAST:
+            break
+        end = max((last for best, last in (a.reach(word, at) for a in automata().values()) if best >= THRESHOLD), default=at)
+        if end > (out[-1][1] if out else 0):
+            if out and at < out[-1][1]:
+                out[-1] = out[-1][0], at
+            out.append((at, end))
+    return out
+
+
 def grammar_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out = []
-    for m in _CANDIDATE.finditer(text):
-        start, end = m.span()
+    for m in _RUN.finditer(text):
         word = m[0].rstrip(".=-")
-        if not any(c.isdigit() for c in word) or any(s < end and start < e for s, _, e in taken):
+        if len(word) < LEAST or not any(c.isdigit() for c in word):
             continue
-        if len(word) >= 16 and score(word)[0] >= THRESHOLD:
-            out.append((start, 3, start + len(word)))
+        for start, end in _credentials(word):
+            at, end = m.start() + start, m.start() + end
+            for s, _, e in taken:  # sorted by their starts
+                if s < end and at < e:
+                    if at < s:
+                        out.append((at, 3, s))
+                    at = e
+            if at < end:
+                out.append((at, 3, end))
     return out
 
 

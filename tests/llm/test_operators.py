@@ -419,6 +419,26 @@ def test_secrets(docs, odd, nothing):
     assert secret_scan.scan(nothing).count() == 0 and secret_scan.scan(odd).count() == len(ODD)
 
 
+def test_secrets_in_urls_paths_and_assignments():
+    r = random.Random(78)
+    found = total = 0
+    for name, words in secret_scan.labelled_credentials(20).items():
+        for w in words:
+            if secret_scan.score(w)[0] < secret_scan.THRESHOLD or not any(c.isdigit() for c in w):
+                continue
+            for before, after in (("https://maps.example/js?v=2&key=", ""), ("GH=", ""), ("export CI=", ""), ("host/path/", ""), ("x", ""), ("a1.b+", ""), ("", "/x"), ("k=", "="), ("AKIA" + "Z" * 16 + "/", "")):
+                text = f"see {before}{w}{after} there"
+                spans = secret_scan.grammar_spans(text, secret_scan.base_spans(text))
+                at = 4 + len(before)
+                total += 1
+                found += any(s == at and e == at + len(w) for s, _, e in spans)
+    assert total > 1000 and found >= 0.99 * total
+    a, b = "ghp_" + "".join(r.choice(secret_scan._ALNUM) for _ in range(36)), "gho_" + "".join(r.choice(secret_scan._ALNUM) for _ in range(36))
+    assert secret_scan.grammar_spans(a + b, []) == [(0, 3, 40), (40, 3, 80)]
+    text = f"x={'0f' * 20}/{a}/token=abcdefgh1"
+    assert secret_scan.grammar_spans(text, secret_scan.base_spans(text)) == [(43, 3, 83)]
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, 'a token = "abcdef123456" b', 5), (2, None, 0), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in secret_scan.redact(df).orderBy("doc_id").collect()] == [(1, 'a [SECRET]" b', 13), (2, None, 0), (3, "clean", 5)]
