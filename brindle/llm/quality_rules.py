@@ -21,7 +21,9 @@ LEVEL = 3
 CHUNK_BYTES = 2048
 #: floor(log2 of the bytes) -> least and largest ratio of a whole document. Shorter documents take the first, longer the last.
 #: Set from the labelled quality of documents, with a margin beside the range of good ones.
-BANDS = {6: (0.62, 1.25), 7: (0.53, 1.0), 8: (0.51, 0.85), 9: (0.48, 0.78), 10: (0.445, 0.68), 11: (0.435, 0.60), 12: (0.412, 0.56), 13: (0.398, 0.53), 14: (0.385, 0.52), 15: (0.375, 0.52)}
+#: No labelled document is longer than 2^15 bytes: the bands from 2^16 on are set from clean documents joined, in each language.
+#: The last begins at the window of the level (2 MB), beyond which the ratio no longer falls with length.
+BANDS = {6: (0.62, 1.25), 7: (0.53, 1.0), 8: (0.51, 0.85), 9: (0.48, 0.78), 10: (0.445, 0.68), 11: (0.435, 0.60), 12: (0.412, 0.56), 13: (0.398, 0.53), 14: (0.385, 0.52), 15: (0.375, 0.52), 16: (0.355, 0.52), 17: (0.35, 0.52), 18: (0.335, 0.52), 19: (0.33, 0.52), 20: (0.325, 0.52), 21: (0.315, 0.52)}
 #: The same for chunks, and the share of chunks that may lie outside.
 CHUNK_BAND = (0.45, 0.62)
 CHUNK_SHARE = 0.3

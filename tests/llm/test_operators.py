@@ -324,6 +324,33 @@ def test_quality_bands():
     assert 0.3 < quality_rules.verdict(prose.encode(), z)[1] < 0.6
 
 
+def test_quality_keeps_very_long_clean_texts():
+    import pyarrow.parquet as pq
+    import zstandard
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    z = zstandard.ZstdCompressor(level=3).compress
+    clean, seen = collections.defaultdict(list), set()
+    for r in pq.read_table(f"{folder}/documents.parquet", columns=["text", "lang"]).to_pylist():
+        raw = (r["text"] or "").encode()
+        if 1500 <= len(raw) < 40_000 and raw[:200] not in seen and quality_rules.verdict(raw, z)[0]:
+            seen.add(raw[:200])
+            clean[r["lang"]].append(raw)
+    tried = collections.Counter()
+    for lang, parts in clean.items():
+        whole = b"\n".join(parts)
+        for n in (70_000, 140_000, 300_000, 500_000, 524_288, 1_000_000, 1_500_000, 2_500_000, 5_000_000):
+            if len(whole) >= n:
+                tried[n] += 1
+                assert quality_rules.verdict(whole[:n], z)[0], (lang, n)
+    assert tried[1_500_000] >= 4 and tried[5_000_000] >= 1
+    once = b"\n".join(clean["en"])
+    for n in (250_000, 600_000):
+        assert not quality_rules.verdict(once[:n] * 2, z)[0]
+
+
 # --- 7
 
 
