@@ -171,27 +171,29 @@ class Solver:
 
 
 def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) per document: component_id is the least doc_id reachable by links."""
+    """(doc_id, n_shingles, component_id, node, root, mark) per document: component_id is the least doc_id reachable by links,
+    root the component itself (components of repeated or null ids can share a component_id), mark the hash of the text."""
     docs = pick(docs, ("doc_id", "long"), ("text", "string"))
 
     def list_task(slices: Iterator[list[list]]) -> Iterator[list[tuple]]:
         seen: set[int] = set()  # copies within the task are listed once: a pre-aggregation before the shuffle
-        for ids, texts in slices:
+        for ids, texts, marks in slices:
             out = []
-            for i, t in zip(ids, texts):
+            for i, t, mark in zip(ids, texts, marks):
                 s = shingle_set(t or "", width)
                 if not len(s):
-                    out.append((i, 0, None, None))
+                    out.append((i, 0, None, None, mark))
                     continue
                 node, listed = node_of(s), None
                 if node not in seen:
                     seen.add(node)
                     listed = b"".join(np.where(asks, keys | np.uint64(1), keys & ~np.uint64(1)).tobytes() for keys, asks in block_lists(s, num, den))
                     listed = np.frombuffer(listed, "<i8").tolist()
-                out.append((i, len(s), node, listed))
+                out.append((i, len(s), node, listed, mark))
             yield out
 
-    rows = cut(stream_task(docs, list_task, "doc_id long, n_shingles long, node long, listed array<long>"), "sets")
+    marked = docs.withColumn("mark", F.xxhash64("text"))
+    rows = cut(stream_task(marked, list_task, "doc_id long, n_shingles long, node long, listed array<long>, mark long"), "sets")
     sets = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
 
     # the lowest bit of a listed key says whether its set asks; the node's lowest bit (free) takes it over, set for those that don't
@@ -242,21 +244,16 @@ def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
     links = components(stream_task(dealt, solve_task, "u long, v long"))
     named = sets.join(links, sets.node == links.node, "left").select(sets.node, "doc_id", F.coalesce("root", sets.node).alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    final = named.join(least, "root").select("node", "component_id")
-    return rows.join(final, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    final = named.join(least, "root").select("node", "component_id", "root")
+    return rows.join(final, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "root", "mark")
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row of docs, all its columns, of each component: that with the least doc_id (of rows that repeat it, the least text,
-    then any). Documents without words all stay."""
-    found = link(docs, width, num, den)
-    stay = found.filter("n_shingles = 0 or doc_id = component_id or component_id is null").groupBy("doc_id").agg(F.max((F.col("n_shingles") == 0).cast("int")).alias("blank"))
-    out = docs.join(stay.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    first = F.row_number().over(_by_doc())
-    return out.withColumn("__first", first).filter("__first = 1 or blank = 1 and trim(coalesce(text, '')) = ''").select(*docs.columns)
-
-
-def _by_doc():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text"))
+    then any). Documents without words all stay. Ids may repeat or be null: a row is found again by its id and text."""
+    stay = link(docs, width, num, den).filter("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("root").alias("__root")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__mark"))
+    out = docs.join(stay, same)
+    # the least text by a partial aggregation: a component of null ids may have very many rows
+    first = out.filter("__root is not null").groupBy("__root").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col("text")).alias("__row"))
+    return first.select("__row.*").unionAll(out.filter("__root is null").select(*docs.columns))

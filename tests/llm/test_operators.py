@@ -189,6 +189,14 @@ def test_jaccard_join_edges(odd, nothing):
     assert [i for i, _ in left] == [0, 1, 2, 3, 4, 6, 8, 9, 10, 11]
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(None, c), (None, d), (None, d), (3, a), (5, a + " end"), (5, b), (7, ""), (7, ""), (None, None), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(df).collect())
+    assert kept == collections.Counter([(None, c), (None, d), (3, a), (5, b), (7, ""), (7, ""), (None, None), (None, " ")])
+
+
 def test_solver_answers_are_exact():
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 60, 120, dtype=np.uint64)
