@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of an Arrow batch where the session leaves Spark's default of 10,000: rows are whole texts here, and the JVM holds a
+#: batch outside of its heap, several times over while it grows.
+BATCH_ROWS = 1_000
 #: Rows handed to Python code at once after slicing an Arrow batch; bounds the decoded strings alive at a time.
 SLICE_ROWS = 256
 
@@ -43,9 +46,25 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_count(spark: SparkSession) -> int:
+    """Partitions for a shuffle into Python tasks: the session's number, and no fewer than its cores."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table written by `cut` that nothing reads any more."""
+    spark = df.sparkSession
+    for f in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers of the session's context, once: they need not have it installed."""
+    """Give this package to the Python workers of the session's context, once: they need not have it installed. Also bound the
+    session's Arrow batches, unless it has set them."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
