@@ -7,8 +7,10 @@ the sequences are dealt to step groups of equal token counts.
   smallest tier that holds it.
 * A tier's window is opened by its longest piece, filled best-fit with pieces of this tier, then of shorter tiers, and
   closed exactly by cutting one more piece. So a window has no padding.
-* What is left at the end of a task is cut into powers of two.
-* A step group holds sequences of one tier, `step_tokens` tokens of them (the last one of a tier and task may hold less).
+* What is left at the end of a task is cut into powers of two, which count to the smallest tier that holds them.
+* A step group holds sequences of one tier, at most `step_tokens` tokens of them. The last two groups of a tier in a task are
+  dealt anew at its end, longest sequences first, so that they are equally full: no group of a task that has several in a
+  tier is under half full.
 
 Each task packs its own input partition: no shuffle, no key, so no key can be hot. Sequence and step ids join the
 partition's number to a counter; a task that is run again reads the same rows and gives the same ids.
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
+from brindle.llm.chunk_table import ChunkTable
 from brindle.llm.common import pick, stream_task, warm
 
 TIERS = (256, 512, 1024)
@@ -45,16 +48,16 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class TokenizerChunks:
-    """ids of whole texts by the tokenizers library. A single space between two non-space characters always starts a new
-    word of its byte-level pattern, so a text is split there and the library encodes each distinct chunk once."""
+    """ids of whole texts as the tokenizers library gives them. Texts are split at single spaces between two non-space
+    characters and the library encodes each distinct chunk once; a text with other spacing, or with one of the vocabulary's
+    special strings, goes to the library as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        #: ids of chunks, by the chunk without the space before it
-        self.memory: dict[str, bytes] = {}
+        self.table = ChunkTable(self._learn, MEMORY_CHUNKS)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         vocab = self.tok.get_vocab(with_added_tokens=True)
         #: bytes of each id: a byte-level vocabulary writes each byte as one character
         self.widths = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -64,33 +67,29 @@ class TokenizerChunks:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode distinct chunks, many to a call: the ids of the joined text are dealt back by their byte lengths.
-        Chunks that begin or end in other white space are encoded alone, since neighbours could change their words."""
-        joint = [c for c in chunks if c and c == c.strip()]
-        if len(joint) < len(chunks):
-            alone = [c for c in chunks if not c or c != c.strip()]
-            self.memory.update((c, ids.tobytes()) for c, ids in zip(alone, self._encode([" " + c for c in alone])))
-        groups = [joint[at : at + 512] for at in range(0, len(joint), 512)]
-        for group, ids in zip(groups, self._encode([" " + " ".join(g) for g in groups])):
-            ends = np.cumsum([len(c.encode("utf-8")) + 1 for c in group])
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of distinct chunks with a space before each, many to a call: the ids of the joined text are dealt back by their
+        byte lengths. Chunks that begin or end in other white space are encoded alone, since neighbours could change their words."""
+        alone = [i for i, c in enumerate(chunks) if not c or c != c.strip()]
+        apart = set(alone)
+        joint = [i for i in range(len(chunks)) if i not in apart]
+        groups = [[i] for i in alone] + [joint[at : at + 512] for at in range(0, len(joint), 512)]
+        start, size, done = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64), 0
+        encoded = self._encode([" " + " ".join([chunks[i] for i in g]) for g in groups])
+        for group, ids in zip(groups, encoded):
+            ends = np.cumsum([len(chunks[i].encode("utf-8", "surrogatepass")) + 1 for i in group])
             cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends, "left") + 1
-            packed, at = ids.tobytes(), 0
-            for c, end in zip(group, (cuts * 4).tolist()):
-                self.memory[c] = packed[at:end]
-                at = end
+            start[group], size[group] = done + np.append(0, cuts[:-1]), np.diff(cuts, prepend=0)
+            done += len(ids)
+        return np.concatenate(encoded), start, size
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        memory = self.memory
-        split = [None if not t or _SPACED.search(t) and _IRREGULAR.search(t) else t.split(" ") for t in texts]
+        split = [bool(t) and not (_SPACED.search(t) and _IRREGULAR.search(t)) and not any(x in t for x in self.special) for t in texts]
+        parts = [t.partition(" ") if regular else (t, "", "") for t, regular in zip(texts, split)]
         # a text's first chunk has no space before it: it is encoded with the texts that cannot be split
-        whole = iter(self._encode([t if chunks is None else chunks[0] for t, chunks in zip(texts, split)]))
-        if len(memory) > MEMORY_CHUNKS:
-            memory.clear()
-        rests = [chunks[1:] for chunks in split if chunks]
-        self._learn(list(set().union(*rests) - memory.keys()))
-        get, rest = memory.__getitem__, iter(rests)
-        return [next(whole).tobytes() + (b"".join(map(get, next(rest))) if chunks else b"") for chunks in split]
+        whole = self._encode([p[0] for p in parts])
+        rest = iter(self.table([p[2].encode("utf-8", "surrogatepass") for p in parts if p[1]]))
+        return [w.tobytes() + (next(rest).tobytes() if p[1] else b"") for w, p in zip(whole, parts)]
 
 
 def chunk_encoder(path: str) -> TokenizerChunks:
@@ -105,14 +104,15 @@ class Packer:
         self.next_seq = self.next_step = task << 36
         self.pools: dict[int, list[tuple]] = {t: [] for t in self.tiers}
         self.waiting = 0
-        self.steps: dict[int, tuple[int, int]] = {}
+        #: the last groups of each tier: lists of (tokens, rows) of a sequence
+        self.steps: dict[int, list[list[tuple[int, list[tuple]]]]] = {t: [] for t in self.tiers}
         self.out: list[tuple] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         top, n = self.tiers[-1], len(ids) // 4
         whole = n - n % top
         for start in range(0, whole, top):
-            self.emit([(doc_id, start, ids[start * 4 : (start + top) * 4], n)], top)
+            self.emit([(doc_id, start, ids[start * 4 : (start + top) * 4], n)])
         if n > whole:
             self.route((doc_id, whole, ids[whole * 4 :], n))
         if self.waiting >= POOL_TOKENS:
@@ -123,19 +123,39 @@ class Packer:
         self.pools[self.tiers[bisect.bisect_left(self.tiers, n)]].append(piece)
         self.waiting += n
 
-    def emit(self, pieces: list[tuple], tier: int) -> None:
+    def emit(self, pieces: list[tuple]) -> None:
+        """A sequence of pieces, to the last step group of its tier that has room."""
         seq, offset, total = self.next_seq, 0, sum(len(p[2]) for p in pieces) // 4
         self.next_seq += 1
-        step, left = self.steps.get(tier, (0, 0))
-        if left < total:
-            step, left = self.next_step, self.step_tokens
-            self.next_step += 1
-        self.steps[tier] = step, left - total
+        tier = self.tiers[bisect.bisect_left(self.tiers, total)]
+        rows = []
         for doc_id, start, ids, n in pieces:
-            k = len(ids) // 4
-            row = (doc_id, start, k, zlib.crc32(ids), n, seq, offset, tier, step)
-            self.out.append((*row, ids) if self.with_ids else row)
-            offset += k
+            rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), n, seq, offset, tier, ids))
+            offset += len(ids) // 4
+        groups = self.steps[tier]
+        if not groups or sum(n for n, _ in groups[-1]) + total > self.step_tokens:
+            if len(groups) == 2:
+                self.close(groups.pop(0))
+            groups.append([])
+        groups[-1].append((total, rows))
+
+    def close(self, group: list[tuple[int, list[tuple]]]) -> None:
+        for _, rows in group:
+            for *row, ids in rows:
+                self.out.append((*row, self.next_step, ids) if self.with_ids else (*row, self.next_step))
+        self.next_step += 1
+
+    def finish(self) -> None:
+        """Pack what waits and deal each tier's last groups evenly."""
+        self.pack(final=True)
+        for tier, groups in self.steps.items():
+            every = sorted((s for g in groups for s in g), key=lambda s: -s[0])
+            even: list[list] = [[] for _ in groups]
+            for sequence in every:
+                min(even, key=lambda g: sum(n for n, _ in g)).append(sequence)
+            for group in even:
+                self.close(group)
+            self.steps[tier] = []
 
     def pack(self, final: bool) -> None:
         """Tiers from long to short. Before the end of the task only windows that close exactly are emitted."""
@@ -168,7 +188,7 @@ class Packer:
                     pools[home].insert(i, rest)
                     gap = 0
                 if not gap:
-                    self.emit(window, tier)
+                    self.emit(window)
                 elif final:
                     self.powers(window)
                 else:
@@ -182,7 +202,7 @@ class Packer:
         while total:
             want = 1 << (total.bit_length() - 1)
             total -= want
-            length, row = want, []
+            row = []
             while want:
                 doc_id, start, ids, n = queue.pop()
                 k = len(ids) // 4
@@ -191,7 +211,7 @@ class Packer:
                     ids, k = ids[: want * 4], want
                 row.append((doc_id, start, ids, n))
                 want -= k
-            self.emit(row, length)
+            self.emit(row)
 
     def flush(self) -> list[tuple]:
         out, self.out = self.out, []
@@ -210,7 +230,7 @@ def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, step_tokens
             for doc_id, ids in zip(doc_ids, encode([t or "" for t in texts])):
                 packer.add(doc_id, ids + end)
             yield packer.flush()
-        packer.pack(final=True)
+        packer.finish()
         yield packer.flush()
 
     return stream_task(pick(docs, ("doc_id", "long"), ("text", "string")), task, PIECE + (", ids binary" if with_ids else ""), keep="packing")

@@ -55,7 +55,6 @@ def test_packing(source, request, spark):
 
     df = request.getfixturevalue(source)
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     want = collections.Counter((i, tuple(tok.encode(t or "", add_special_tokens=False).ids + [0])) for i, t in pairs(df))
     out = packing.pack(df, JSON).toPandas()
     if source == "nothing":
@@ -78,6 +77,33 @@ def test_packing(source, request, spark):
     assert out.groupby("step_group").length.sum().max() <= packing.STEP_TOKENS and out.groupby("step_group").tier.nunique().max() == 1
 
 
+def test_step_groups_are_evenly_full():
+    r = random.Random(4)
+    packer = packing.Packer(3, packing.TIERS, 8192, False)
+    for i in range(900):
+        packer.add(i, b"\1\0\0\0" * int(r.lognormvariate(5, 1.2) + 1))
+    packer.finish()
+    filled, tiers = collections.Counter(), collections.defaultdict(set)
+    for _, _, length, _, _, _, _, tier, step in packer.flush():
+        filled[step] += length
+        tiers[tier].add(step)
+    for steps in tiers.values():
+        assert all(filled[s] <= 8192 for s in steps)
+        assert len(steps) == 1 or min(filled[s] for s in steps) >= 4096 - 1024
+    assert max(map(len, tiers.values())) > 2
+
+
+def test_chunks_are_the_librarys_ids():
+    from tokenizers import Tokenizer
+
+    tok, r = Tokenizer.from_file(JSON), random.Random(8)
+    pieces = ["a", "The", "x" * 300, "é日", "\n", "\t", "don't", "12345", "\u3000", "<|endoftext|>", "!?", "\xa0z", "e\u0301", "", "\U0001f389b", "q" * 8, "q" * 9]
+    texts = [r.choice([" ", " ", " ", "  ", "\n", " \n"]).join(r.choice(pieces) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    encode = packing.TokenizerChunks(JSON)
+    for at in range(0, 3000, 250):
+        assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts[at : at + 250])] == [tok.encode(t, add_special_tokens=False).ids for t in texts[at : at + 250]]
+
+
 # --- 2
 
 
