@@ -74,13 +74,15 @@ def band_of(n_bytes: int) -> tuple[float, float]:
 
 
 def verdict(raw: bytes, compress) -> tuple[bool, float | None, float | None]:
-    """kept, ratio of the whole, share of chunks outside their band (a last part shorter than a chunk counts only in the whole)."""
+    """kept, ratio of the whole, share of chunks outside their band. A last part shorter than a chunk has the band of documents of
+    its length; one below LEAST_BYTES counts only in the whole."""
     if len(raw) < LEAST_BYTES:
         return True, None, None
     low, high = band_of(len(raw))
     ratio = len(compress(raw)) / len(raw)
-    chunks = [len(compress(raw[i : i + CHUNK_BYTES])) / CHUNK_BYTES for i in range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)]
-    outside = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in chunks) / len(chunks) if chunks else 0.0
+    chunks = [raw[i : i + CHUNK_BYTES] for i in range(0, len(raw), CHUNK_BYTES)]
+    bands = [(len(compress(c)) / len(c), CHUNK_BAND if len(c) == CHUNK_BYTES else band_of(len(c))) for c in chunks if len(c) >= LEAST_BYTES]
+    outside = sum(not lo <= r <= hi for r, (lo, hi) in bands) / len(bands)
     return low <= ratio <= high and outside <= CHUNK_SHARE, ratio, outside
 
 
