@@ -261,7 +261,7 @@ def grammar_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[in
     out = []
     for m in _RUN.finditer(text):
         word = m[0].rstrip(".=-")
-        if len(word) < LEAST or not any(c.isdigit() for c in word):
+        if len(word) < LEAST:
             continue
         for start, end in _credentials(word):
             at, end = m.start() + start, m.start() + end
