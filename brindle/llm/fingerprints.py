@@ -4,8 +4,8 @@ Every word shingle is hashed once; the top bits of the hash choose one of BINS b
 bins copy a filled bin found by optimal densification (a hash of bin and attempt picks the next try). Of each bin the low
 BITS bits are stored, packed; likeness corrects the matches that so few bits make by chance.
 
-Shingles are five words (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased). A text of one to four words takes its five-character
-pieces instead (the whole text if shorter). A text without words has the empty fingerprint, like only to itself.
+Shingles are five words (A-Z lower-cased, separated by ASCII white space), or all words where there are fewer. A text without
+words has the empty fingerprint, like only to itself.
 
 `fingerprint` is one pass without a shuffle. `with_edited` needs each document's successor by doc_id: rows go to ranges of
 ids and each range also gets the first row of the next one, so that no window over all rows is needed.
@@ -46,15 +46,10 @@ def word_hashes(text: str) -> np.ndarray:
 
 def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
     """Hashes of the word shingles of a text, repeats included."""
-    from xxhash import xxh3_64_intdigest
-
     h = word_hashes(text)
     if not len(h):
         return h
-    if len(h) < width:
-        raw = b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
-        pieces = [raw[i : i + width] for i in range(max(1, len(raw) - width + 1))]
-        return np.fromiter(map(xxh3_64_intdigest, pieces), np.uint64, len(pieces))
+    width = min(width, len(h))
     out = np.zeros(len(h) - width + 1, np.uint64)
     for k in range(width):
         out = mix(out * _A + h[k : len(h) - width + 1 + k] + np.uint64(k + 1))
