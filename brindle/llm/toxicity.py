@@ -118,7 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Mod
     positive = known.filter("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(MAX_POSITIVE).withColumn("p", F.lit(1))
     other = docs.filter(~held_out(F.col("doc_id"))).select("doc_id").orderBy(order, "doc_id").limit(MAX_UNLABELLED).distinct().withColumn("p", F.lit(0))
     # at most MAX_POSITIVE + MAX_UNLABELLED pairs of numbers: bounded, so broadcast
-    sample = docs.join(F.broadcast(positive.unionByName(other)), "doc_id").select("doc_id", "text", "p")
+    # one row of each: repeated ids do not make the sample larger
+    sample = docs.join(F.broadcast(positive.unionByName(other)), "doc_id").groupBy("doc_id", "p").agg(F.min("text").alias("text")).select("doc_id", "text", "p")
 
     def count(slices: Iterator[list[list]]) -> Iterator[list[tuple]]:
         seen: dict[str, list[int]] = {}
