@@ -35,11 +35,14 @@ def unescape(text: Column, role: bool = False) -> Column:
 
 
 def events_of_turns(conversations: DataFrame) -> DataFrame:
-    """A table of whole turns as a log: each row is one delta. Rows are numbered by turn (then role and text), so that rows
-    that repeat a turn stay messages of their own."""
+    """A table of whole turns as a streamed log: each row becomes two deltas, the halves of its text. Rows are numbered by turn
+    (then role and text), so that rows that repeat a turn stay messages of their own."""
     c = pick(conversations, ("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
-    return c.withColumn("seq", F.row_number().over(order).cast("long")).select("conv_id", "seq", F.col("seq").alias("turn"), F.lit("delta").alias("kind"), "role", "text")
+    half = F.floor(F.length("text") / 2).cast("int")
+    deltas = F.array(F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text")))
+    c = c.withColumn("turn", F.row_number().over(order).cast("long")).select("conv_id", "turn", "role", F.posexplode(deltas).alias("at", "text"))
+    return c.select("conv_id", (F.col("turn") * 2 + F.col("at")).alias("seq"), "turn", F.lit("delta").alias("kind"), "role", "text")
 
 
 def reconstruct(events: DataFrame) -> DataFrame:
