@@ -63,23 +63,33 @@ def insert(table: DataFrame, new: DataFrame) -> DataFrame:
     return table.unionByName(new)
 
 
+def _one_per_key(new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """One row of those with equal keys: the last by `order`, else any. A key with a NULL never equals another."""
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    row = F.struct(*[F.col(c) for c in new.columns])
+    best = F.max_by(row, F.col(order)) if order else F.any_value(row)
+    return new.filter(whole).groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)]).agg(best.alias("__row")).select("__row.*").unionByName(new.filter(~whole))
+
+
 def insert_or_ignore(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """OR IGNORE / DO NOTHING: rows whose key exists are dropped; of new rows with equal keys one stays."""
-    fresh = new.dropDuplicates(key)
+    fresh = _one_per_key(new, key)
     return table.unionByName(fresh.join(table, _keys(fresh, table, key), "left_anti"))
 
 
-def insert_or_replace(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    fresh = new.dropDuplicates(key)
+def insert_or_replace(table: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """OR REPLACE: new rows displace old ones of their key; of new rows with equal keys the last by the column `order` stays."""
+    fresh = _one_per_key(new, key, order)
     return table.join(fresh, _keys(table, fresh, key), "left_anti").unionByName(fresh)
 
 
-def upsert(table: DataFrame, new: DataFrame, key: list[str], assign: dict[str, str], where: str | None = None) -> DataFrame:
-    """ON CONFLICT (key) DO UPDATE SET: expressions see the old row as `old` and the new one as `excluded`. One full outer join."""
-    t, e = table.alias("old"), new.dropDuplicates(key).alias("excluded")
+def upsert(table: DataFrame, new: DataFrame, key: list[str], assign: dict[str, str], where: str | None = None, order: str | None = None) -> DataFrame:
+    """ON CONFLICT (key) DO UPDATE SET: expressions see the old row as `old` and the new one as `excluded`. One full outer join.
+    Rows with a NULL in their key conflict with nothing: old ones stay, new ones are added."""
+    t, e = table.withColumn("__old", F.lit(True)).alias("old"), _one_per_key(new, key, order).withColumn("__new", F.lit(True)).alias("excluded")
     on = reduce(lambda x, y: x & y, [F.col(f"old.{k}") == F.col(f"excluded.{k}") for k in key])
     both = t.join(e, on, "full")
-    has_old, has_new = F.col(f"old.{key[0]}").isNotNull(), F.col(f"excluded.{key[0]}").isNotNull()
+    has_old, has_new = F.col("__old").isNotNull(), F.col("__new").isNotNull()
     hit = has_old & has_new & (F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True))
     return both.select(*[F.when(hit, F.expr(assign[c]) if c in assign else F.col(f"old.{c}")).when(has_old, F.col(f"old.{c}")).otherwise(F.col(f"excluded.{c}")).alias(c) for c in table.columns])
 

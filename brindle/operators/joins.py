@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def using(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
@@ -40,3 +41,18 @@ def banded(left: DataFrame, right: DataFrame, at: str, low: str, high: str, widt
     r = right.withColumn("__band", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     out = l.join(r, "__band").filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("__band")
     return out.select(*keep) if keep else out
+
+
+def correlated(outer: DataFrame, inner: DataFrame, keys: dict[str, str], found: dict[str, Column], counts: tuple[str, ...] = ()) -> DataFrame:
+    """outer with correlated scalar subqueries over inner as columns: aggregates `found` over the inner rows whose keys (outer name:
+    inner name) are equal. An aggregate may also compare inner with outer columns, as in count(when(inner > outer, 1)); those in
+    `counts` are 0 where no row matches, the others NULL.
+
+    One hash join by the keys and one aggregation per distinct outer row, however the aggregate compares: written as a subquery, a
+    comparison beside the equality makes Catalyst join by nested loops."""
+    each = outer.distinct()
+    on = reduce(lambda a, b: a & b, [F.col(o) == F.col(i) for o, i in keys.items()])
+    per = each.join(inner, on).groupBy(*outer.columns).agg(*[e.alias(n) for n, e in found.items()])
+    per = per.select(*[F.col(x).alias(f"__{x}") for x in outer.columns], *found)
+    same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"__{x}")) for x in outer.columns])
+    return outer.join(per, same, "left").select(*outer.columns, *[F.coalesce(F.col(n), F.lit(0)).alias(n) if n in counts else F.col(n) for n in found])

@@ -6,11 +6,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LEX = re.compile(r"""('(?:[^']|'')*')|("(?:[^"]|"")*")|(`[^`]*`)|(\[[A-Za-z_][^\]\n]*\])|(--[^\n]*)|(/\*.*?\*/)|(==)|(0[xX][0-9a-fA-F]+)|([A-Za-z_][A-Za-z0-9_]*)|(;)|(\s+)|(.)""", re.S)
-
-#: Functions of another name in Spark. Fixed values.
-NAMES = {"group_concat": "listagg", "unicode": "ascii", "total": "__total", "randomblob": "randstr", "json_array": "__json_array"}
+from brindle.plans import operators
 
+_LEX = re.compile(r"""('(?:[^']|'')*')|("(?:[^"]|"")*")|(`[^`]*`)|(\[[A-Za-z_][^\]\n]*\])|(--[^\n]*)|(/\*.*?\*/)|(==)|(0[xX][0-9a-fA-F]+)|([A-Za-z_][A-Za-z0-9_]*)|(;)|(\s+)|(.)""", re.S)
 
 def split(sql: str) -> list[str]:
     """Statements, split at semicolons outside of quotes and comments."""
@@ -25,7 +23,7 @@ def split(sql: str) -> list[str]:
 
 
 def rewrite(sql: str) -> str:
-    """"x" and [x] to backticks, == to =, hex integers, TOTAL, GROUP_CONCAT, NOT NULL / ISNULL / NOTNULL postfixes, GLOB with a
+    """"x" and [x] to backticks, == to =, hex integers, TOTAL, NOT NULL / ISNULL / NOTNULL postfixes, GLOB with a
     literal pattern, LIMIT m, n, IFNULL as is. A [ that follows a name or a bracket stays an array index."""
     from brindle.functions.dialect import glob_regex
 
@@ -64,8 +62,6 @@ def rewrite(sql: str) -> str:
             inner = rewrite("".join(t for _, t in items[j + 1 : k]))
             out.append(f"coalesce(sum(cast({inner} as double)), 0.0D)")
             i = k
-        elif kind == 9 and low == "group_concat":
-            out.append("listagg")
         elif kind == 9 and low == "glob" and (j := following(i + 1)) < len(items) and items[j][0] == 1:
             pattern = glob_regex(items[j][1][1:-1].replace("''", "'"))
             out.append("RLIKE '" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'")
@@ -87,11 +83,56 @@ def rewrite(sql: str) -> str:
     return "".join(out)
 
 
+#: Type names of integers. Fixed values.
+INTEGERS = {"tinyint", "smallint", "int", "bigint"}
+_EXPLAIN = re.compile(r"explain\s+query\s+plan\b", re.I)
+_PRAGMA = re.compile(r"pragma\s+(table_info|table_list)\s*(?:\(\s*(\w+)\s*\))?\Z", re.I)
+
+
+def integer_columns(spark: SparkSession, text: str) -> set[str]:
+    """Columns of the tables that a statement names which are integers wherever they occur."""
+    kinds: dict[str, set[str]] = {}
+    for name in {t.strip('`"').lower() for t in operators.tokens(text) if re.match(r"[A-Za-z_`\"]", t)}:
+        if re.fullmatch(r"\w+", name) and spark.catalog.tableExists(name):
+            for column, kind in spark.table(name).dtypes:
+                kinds.setdefault(column.lower(), set()).add(kind)
+    return {c for c, k in kinds.items() if k <= INTEGERS}
+
+
+def pragma(spark: SparkSession, name: str, table: str | None) -> DataFrame:
+    """table_info(t): cid, name, type, notnull, dflt_value, pk. table_list: name, type of the session's tables and views."""
+    if name == "table_info" and table:
+        rows = [(i, f.name, f.dataType.simpleString(), int(not f.nullable), None, 0) for i, f in enumerate(spark.table(table).schema)]
+        return spark.createDataFrame(rows, "cid int, name string, type string, notnull int, dflt_value string, pk int")
+    return spark.createDataFrame([(t.name, "view" if t.isTemporary else "table") for t in spark.catalog.listTables()], "name string, type string")
+
+
+def _parameters(text: str, args: dict | list | None) -> tuple[str, dict | list | None]:
+    """?N, @name and $name as :name; a list of values is numbered from 1 where ?N is used."""
+    ts = operators.tokens(text)
+    numbered = any(re.fullmatch(r"\?\d+", t) for t in ts)
+    out = [f":_{t[1:]}" if re.fullmatch(r"\?\d+", t) else ":" + t[1:] if t[0] in "@$" and len(t) > 1 else t for t in ts]
+    if numbered and isinstance(args, (list, tuple)):
+        args = {f"_{i}": v for i, v in enumerate(args, 1)}
+    return "".join(out), args
+
+
+def translate(spark: SparkSession, statement: str) -> str:
+    """One statement of the dialect as Spark SQL."""
+    statement = _EXPLAIN.sub("EXPLAIN FORMATTED", statement)
+    integers = integer_columns(spark, statement) if "/" in statement else set()
+    return rewrite("".join(operators.rewrite(operators.tokens(statement), integers)))
+
+
 def sql(spark: SparkSession, text: str, args: dict | list | None = None) -> DataFrame:
-    """Run the statements of a text; the result of the last one. Parameters: :name with a dict, ? with a list."""
+    """Run the statements of a text; the result of the last one. Parameters: :name, @name, $name with a dict; ?, ?N with a list."""
     result = None
     for s in split(text):
-        result = spark.sql(rewrite(s), args=args) if args else spark.sql(rewrite(s))
+        if m := _PRAGMA.match(s):
+            result = pragma(spark, m[1].lower(), m[2])
+            continue
+        s, values = _parameters(s, args)
+        result = spark.sql(translate(spark, s), args=values) if values else spark.sql(translate(spark, s))
     if result is None:
         raise ValueError("no statement")
     return result
