@@ -1,8 +1,8 @@
 """Operator 4: HTML main text from flat text blocks.
 
 The page is flattened to text blocks at block-level tags. Each block is described by its words and link density, those of its
-neighbours, and whether it lies in a marked-off region or in the article element; a decision tree, trained on the small
-labelled table below, keeps or drops it. Kept blocks are joined in page order by two line breaks.
+neighbours, and whether it lies in a marked-off region, in the article element, or there under a name that partly reads like a
+region; a decision tree, trained on the small labelled table below, keeps or drops it. Kept blocks are joined in page order by two line breaks.
 
 One pass over whole pages without a shuffle. Defined results: null or empty html gives an empty text; broken markup
 (missing ends, stray tags) is read as far as it goes; repeated rows are extracted alike; extra columns are ignored.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame
 
 from brindle.llm.common import pick, stream
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: No part of it can run past the next "<" outside of quotes and be tried again there, so a page is read in linear time.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^<>]*+>|<\?[^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"<]*+\"|'[^'<]*+'|\"[^\"]{0,2000}+\"|'[^']{0,2000}+')*+)>", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[a-z]+")
 
@@ -36,8 +38,12 @@ APART_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
 MAIN = {"article", "main"}
 MAIN_NAMES = {"article", "content", "entry", "main", "post", "story"}
 
-FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "apart", "in_main", "page_has_main")
-#: The labelled table: the features above, then 1 for main text.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Words that, beside one of APART_NAMES, only say that an element holds such things. Fixed values.
+HOLDERS = {"area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "card", "container", "content", "entry", "form", "group", "header", "item", "items", "label", "left", "links", "list", "news", "pages", "panel", "posts", "right", "section", "site", "slot", "stories", "thread", "title", "top", "unit", "wrapper"}
+
+FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "apart", "in_main", "page_has_main", "named")
+#: The labelled table: the features above but the last, then 1 for main text.
 LABELLED = (
     # menus, footers, side columns and notices, marked off
     (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0), (2, 1.0, 1, 1.0, 8, 0.0, 1, 0, 1, 0),
@@ -66,6 +72,11 @@ LABELLED = (
     (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (6, 0.8, 40, 0.0, 5, 1.0, 0, 0, 0, 0), (15, 0.7, 3, 1.0, 9, 0.8, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
     (4, 0.0, 6, 0.0, 5, 0.0, 0, 0, 0, 0), (5, 0.0, 3, 0.5, 0, 0.0, 0, 0, 0, 0), (3, 0.0, 2, 0.0, 3, 1.0, 0, 0, 0, 0), (30, 0.9, 30, 0.0, 20, 0.5, 0, 0, 0, 0),
 )
+#: More rows, of blocks in the article element under a name that partly reads like one of APART_NAMES: words and links decide.
+NAMED = (
+    (60, 0.0, 40, 0.0, 30, 0.0, 0, 1, 1, 1), (25, 0.1, 60, 0.0, 20, 0.0, 0, 1, 1, 1), (9, 0.0, 8, 0.0, 60, 0.0, 0, 1, 1, 1), (15, 0.0, 30, 0.0, 12, 0.0, 0, 1, 1, 1), (40, 0.2, 9, 0.0, 0, 0.0, 0, 1, 1, 1), (2, 0.0, 60, 0.0, 45, 0.0, 0, 1, 1, 1),
+    (3, 1.0, 2, 1.0, 3, 1.0, 0, 1, 1, 0), (6, 0.9, 60, 0.0, 5, 1.0, 0, 1, 1, 0), (4, 1.0, 50, 0.0, 40, 0.0, 0, 1, 1, 0), (8, 0.8, 30, 0.0, 2, 1.0, 0, 1, 1, 0), (12, 0.7, 20, 0.0, 9, 0.6, 0, 1, 1, 0), (30, 0.8, 45, 0.0, 12, 0.0, 0, 1, 1, 0),
+)
 
 
 @dataclass
@@ -75,25 +86,35 @@ class Block:
     link_density: float
     apart: bool
     in_main: bool
+    named: bool
 
 
-def _attributes(raw: str) -> tuple[set[str], bool]:
-    """Words of class, id and role; whether the element is hidden."""
-    names, hidden = set(), False
+def _attributes(raw: str, element: str) -> tuple[bool, bool, bool, bool]:
+    """From class, id and role: whether a whole name marks the element off, whether any word of one does, whether one names the
+    main text; and whether the element is hidden."""
+    whole = partly = main = hidden = False
     if raw and not raw.isspace():
         for key, value in _ATTR.findall(raw):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id", "role"):
-                names.update(_NAME.findall(value))
+                for token in value.split():
+                    parts = _NAME.findall(token)
+                    marked = [x in APART_NAMES for x in parts]
+                    partly |= any(marked)
+                    main |= any(x in MAIN_NAMES for x in parts)
+                    if element not in HEADINGS and not (element == "section" and key == "id") and any(marked):
+                        whole |= all(m or x in HOLDERS for m, x in zip(marked, parts))
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                 hidden = True
-    return names, hidden
+    return whole, partly, main, hidden
 
 
 def blocks(page: str) -> list[Block]:
     """Flat text blocks in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, apart, in_main
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, apart, in_main, named
+    depth: Counter[str] = Counter()  # open elements by name
+    endless: set[str] = set()  # skipped elements that the rest of the page does not close
     words: list[str] = []
     state = {"links": 0, "link": 0}
 
@@ -101,8 +122,8 @@ def blocks(page: str) -> list[Block]:
         text = " ".join("".join(words).split())
         if text:
             n = len(text.split(" "))
-            _, apart, main = stack[-1] if stack else ("", False, False)
-            out.append(Block(text, n, min(1.0, state["links"] / n), apart, main))
+            _, apart, main, named = stack[-1] if stack else ("", False, False, False)
+            out.append(Block(text, n, min(1.0, state["links"] / n), apart, main, named))
         words.clear()
         state["links"] = 0
 
@@ -125,7 +146,9 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         if not closing and name in SKIPPED and not raw.endswith("/"):
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            close = None if name in endless else re.compile(rf"</{name}\s*+>", re.I).search(page, at)
+            if close is None and name not in endless:
+                endless.add(name)
             if close is None and name == "head":
                 close = re.compile(r"(?=<body)", re.I).search(page, at)
             at = close.end() if close else (end if name in ("script", "style", "noscript", "template") else at)
@@ -142,32 +165,36 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
+            while depth[name]:
+                ended = stack.pop()[0]
+                depth[ended] -= 1
+                if ended == name:
                     break
             continue
         if name in VOID:
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] in ({name} | ({"dt", "dd"} if name in ("dt", "dd") else {"td", "th"} if name in ("tr", "td", "th") else set())):
-            stack.pop()  # these end where the next begins
+            depth[stack.pop()[0]] -= 1  # these end where the next begins
         elif name != "p" and stack and stack[-1][0] == "p":
-            stack.pop()  # no block element lies in a paragraph
-        names, hidden = _attributes(raw)
-        _, apart, main = stack[-1] if stack else ("", False, False)
-        in_main = main or name in MAIN or bool(names & MAIN_NAMES) and not names & APART_NAMES
-        own = hidden or bool(names & APART_NAMES) and name not in ("html", "body") or name in APART and not (name == "header" and main)
-        stack.append((name, apart or own, in_main))
+            depth[stack.pop()[0]] -= 1  # no block element lies in a paragraph
+        whole, partly, called_main, hidden = _attributes(raw, name)
+        _, apart, main, named = stack[-1] if stack else ("", False, False, False)
+        in_main = main or name in MAIN or called_main and not partly
+        # outside of the article any such word marks an element off, inside only a name that says nothing else
+        marked = (whole or partly and not main) and name not in ("html", "body", *MAIN)
+        own = hidden or marked or name in APART and not (name == "header" and main)
+        stack.append((name, apart or own, in_main, named or partly and main))
+        depth[name] += 1
     flush()
     return out
 
 
 def feature_rows(found: list[Block]) -> list[tuple]:
     has_main = any(b.in_main and not b.apart for b in found)
-    edge = Block("", 0, 0.0, False, False)
+    edge = Block("", 0, 0.0, False, False, False)
     rows = []
     for before, b, after in zip([edge, *found[:-1]], found, [*found[1:], edge]):
-        rows.append((b.words, b.link_density, before.words, before.link_density, after.words, after.link_density, int(b.apart), int(b.in_main), int(has_main)))
+        rows.append((b.words, b.link_density, before.words, before.link_density, after.words, after.link_density, int(b.apart), int(b.in_main), int(has_main), int(b.named)))
     return rows
 
 
@@ -205,7 +232,8 @@ class Tree:
 
 @lru_cache(maxsize=1)
 def tree() -> Tree:
-    return Tree([r[:-1] for r in LABELLED], [r[-1] for r in LABELLED])
+    rows = [(*r[:-1], 0) for r in LABELLED] + [(*r[:-1], 1) for r in NAMED]
+    return Tree(rows, [r[-1] for r in (*LABELLED, *NAMED)])
 
 
 def main_text(page: str) -> str:
