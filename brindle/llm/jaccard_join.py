@@ -7,9 +7,12 @@ A document's set holds its distinct word shingles as 64-bit hashes; sets link at
    hold a shingle, rare ones first, then the rest; ties by hash. Linked sets share a shingle among the first n - ceil(t n) + 1
    of this order, whatever the order is. Numbers of holders are summed per chunk of documents before the shuffle, so a shingle
    of a third of all documents is one entry a chunk. A set whose first shingles are its own has no link and goes no further.
-3. Sets that share one of their first shingles form clusters. A cluster is solved in memory. In one over BLOCK_TOKENS, each
-   set first meets the set it shares most lists with, in groups of bounded size; lists whose sets are one component by then
-   are done. What is left is cut into blocks of sets, and each pair of blocks is solved by a task of its own.
+3. Sets that share one of their first shingles form clusters. A cluster is solved in memory. One over BLOCK_TOKENS is divided:
+   a hash-ordered set is cut into k position blocks, k above the largest symmetric difference a linked pair of its size may
+   have, so linked sets agree in a whole block; a set is listed under all its blocks, but asks only for its largest ones (so
+   many that one must agree). In a cluster still over that size, each set first meets the set it shares most lists with, in
+   groups of bounded size; lists whose sets are one component by then are done. What is left is cut into blocks of sets, and
+   each pair of blocks is solved by a task of its own.
 4. Inside a task: an index of the rarest shingles, its lists kept in blocks by position. A block is skipped as a whole when
    its positions leave too few shingles in common, or when its sets already share the component of the asking set. The
    answers of a set are derived from those of the most similar set answered before: its links are inherited through the
@@ -24,8 +27,10 @@ null; repeated rows each get a row; extra columns are ignored (kept by `keep_one
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -36,8 +41,10 @@ from brindle.llm.common import cut, pick, stream_task, worker_count
 from brindle.llm.components import components
 from brindle.llm.fingerprints import mix, word_hashes
 
-#: The sampled part of the hash space, as a multiple of the share 1 - t of a set that a linked set may lack.
-SAMPLE = 1.75
+#: The sampled part of the hash space: a multiple of the share 1 - t of a set that a linked set may lack, and a part beyond it.
+SAMPLE, BEYOND = 1.75, 0.1
+#: Share of blocks beyond those that must be asked for.
+SLACK = 0.25
 #: Shingles of one block of sets; a task holds two such blocks. A set counts as SET_TOKENS more, so short ones are bounded too.
 BLOCK_TOKENS, SET_TOKENS = 150_000, 30
 #: Sampled shingles of a chunk of documents.
@@ -97,7 +104,7 @@ def first_shingles(n: int, num: int, den: int) -> int:
 
 
 def _limit(num: int, den: int) -> np.uint64:
-    return np.uint64(min(1.0, SAMPLE * (den - num) / den) * (1 << 24))
+    return np.uint64(min(1.0, SAMPLE * (den - num) / den + BEYOND) * (1 << 24))
 
 
 def sampled(s: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -107,6 +114,42 @@ def sampled(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return s[inside] if lack <= 0 else np.concatenate([s[inside], s[~inside][:lack]])
 
 
+@lru_cache(maxsize=4)
+def _bounds(num: int, den: int) -> list[int]:
+    """Lower bounds of the size classes: sets that may link lie in the same or neighbouring classes."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * den // num + 1)
+    return out
+
+
+@lru_cache(maxsize=4096)
+def family(j: int, num: int, den: int) -> tuple[int, int]:
+    """For pairs whose smaller set is in class j: blocks to list, blocks to ask for (more than the sets can differ in)."""
+    small = _bounds(num, den)[j + 1] - 1
+    differ = (small + small * den // num) * (den - num) // (den + num)
+    return math.ceil((differ + 1) * (1 + SLACK)), differ + 1
+
+
+def block_lists(s: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, asks) of a set: in the family of its own class, and, only asking, in that of the class below."""
+    c = int(np.searchsorted(_bounds(num, den), len(s), "right")) - 1
+    out = []
+    for j in (c, c - 1):
+        if j < 0 or (both := family(j, num, den))[1] == 1:
+            continue  # no difference is allowed: only equal sets link
+        k, ask = both
+        block = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # grows with the hash: blocks are runs of positions
+        ends = np.searchsorted(block, np.arange(k + 1, dtype=np.uint64))
+        sizes = np.diff(ends)
+        total = np.append(np.uint64(0), np.cumsum(mix(s * _A + np.uint64(1)), dtype=np.uint64))
+        keys = mix(mix((total[ends[1:]] - total[ends[:-1]]) + np.uint64((j * 2 + 1) * int(_A) % 2**64)) + (np.arange(k, dtype=np.uint64) + np.uint64(7)) * _A)
+        asks = np.zeros(k, bool)
+        asks[np.argsort(-sizes, kind="stable")[:ask]] = True
+        out.append((keys, asks) if j == c else (keys[asks], asks[asks]))
+    return out
+
+
 class Solver:
     """Exact components of sets in memory. side: sets of one side are not compared (they are in another task); None: all are."""
 
@@ -331,6 +374,29 @@ def _edges(entry: DataFrame, by: str) -> DataFrame:
     return entry.join(cut(heads, "heads"), "key").filter("node <> head").groupBy(F.col("node").alias("u"), F.col("head").alias("v")).agg(F.count("*").alias("n"))
 
 
+def _block_edges(docs: DataFrame, large: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(u, v, n) as `_edges`, by lists of equal blocks within a cluster; a list in which no set asks has none."""
+
+    def task(slices: Iterator[list[list]]) -> Iterator[list[tuple]]:
+        done: set[int] = set()
+        for texts, nodes, roots in slices:
+            out = []
+            for s, node, root in zip(shingle_sets(texts, width), nodes, roots):
+                if len(s) and node not in done and node_of(s) == node:
+                    done.add(node)
+                    for keys, asks in block_lists(s, num, den):
+                        out.append((node, root, keys[asks].view(np.int64).tolist(), keys[~asks].view(np.int64).tolist()))
+            yield out
+
+    fetched = _marked(docs).join(large.select("node", "root", "id", "id_mark"), _same_document()).select("text", "node", "root")
+    listed = cut(stream_task(fetched, task, "node long, root long, asked array<long>, offered array<long>"), "blocks")
+    entry = listed.select("node", "root", F.explode("asked").alias("k"), F.lit(0).alias("quiet")).unionAll(listed.select("node", "root", F.explode("offered"), F.lit(1)))
+    entry = entry.select(F.xxhash64("root", "k").alias("key"), "node", "quiet")
+    heads = entry.groupBy("key").agg(F.min(F.struct("quiet", "node")).alias("head"), F.min("node").alias("low"), F.max("node").alias("high"))
+    heads = heads.filter("low <> high and head.quiet = 0").select("key", F.col("head.node").alias("head"))
+    return entry.join(cut(heads, "heads"), "key").filter("node <> head").groupBy(F.col("node").alias("u"), F.col("head").alias("v")).agg(F.count("*").alias("n"))
+
+
 def _solved(docs: DataFrame, dealt: DataFrame, width: int, num: int, den: int, parts: int) -> DataFrame:
     """(u, v): links between sets, as many as their components need. dealt: node, id, id_mark, root, blocks, kind; kind 0: the set is
     in one of the blocks of its root, and blocks are solved in pairs; 1: in one block, solved alone; 2: in all blocks."""
@@ -392,11 +458,18 @@ def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
     member = _sized(clusters, sets)
     first = member.filter("blocks = 1").select("node", "id", "id_mark", "root", "blocks", F.lit(0).alias("kind"))
 
-    # clusters over a block: each set with the one it shares most lists with, in groups of about a block
+    # clusters over a block: the sets of a cluster that also agree in a whole block of positions
     large = member.filter("blocks > 1")
     any_large = not large.isEmpty()
     if any_large:
-        best = edge.join(large.select(F.col("node").alias("u"), F.col("n").alias("size")), "u").groupBy("u", "size").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
+        agreeing = cut(_block_edges(docs, large, width, num, den), "lists")
+        finer = _sized(components(agreeing), sets)
+        first = first.unionAll(finer.filter("blocks = 1").select("node", "id", "id_mark", "root", "blocks", F.lit(0).alias("kind")))
+        large = finer.filter("blocks > 1")
+        any_large = not large.isEmpty()
+    if any_large:
+        # still over a block: each set with the one it shares most lists with, in groups of about a block
+        best = agreeing.join(large.select(F.col("node").alias("u"), F.col("n").alias("size")), "u").groupBy("u", "size").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
         best = cut(best, "best")
         groups = cut(best.groupBy("v").agg(F.ceil(F.sum(F.col("size") + SET_TOKENS) / BLOCK_TOKENS).cast("int").alias("blocks")), "groups")
         near = best.join(groups, "v").select(F.col("u").alias("node"), F.col("v").alias("root"), "blocks", F.lit(1).alias("kind"))
@@ -405,7 +478,8 @@ def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
     links = cut(_solved(docs, first, width, num, den, parts), "links")
     if any_large:
         # lists of large clusters whose sets are not yet one component: these sets are solved against each other
-        mixed = entry.join(large.select("node"), "node").join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
+        inside = entry.join(large.select("node", F.col("root").alias("cluster")), "node").withColumn("key", F.xxhash64("key", "cluster"))
+        mixed = inside.join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
         rest = _sized(components(_edges(cut(mixed, "mixed"), "part")), sets).select("node", "id", "id_mark", "root", "blocks", F.lit(0).alias("kind"))
         # written apart: what reads it is Python code too, and should not need a second worker beside each
         links = links.unionAll(cut(_solved(docs, rest, width, num, den, parts), "links"))
