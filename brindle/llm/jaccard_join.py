@@ -49,6 +49,8 @@ SLACK = 0.25
 BLOCK_TOKENS, SET_TOKENS = 150_000, 30
 #: Sampled shingles of a chunk of documents.
 CHUNK_TOKENS = 1_000_000
+#: Rows of a table that may be broadcast.
+BROADCAST_ROWS = 200_000
 #: Overlaps that a task remembers.
 KNOWN = 200_000
 #: Positions in one block of an index list, and sets in it.
@@ -374,6 +376,14 @@ def _edges(entry: DataFrame, by: str) -> DataFrame:
     return entry.join(cut(heads, "heads"), "key").filter("node <> head").groupBy(F.col("node").alias("u"), F.col("head").alias("v")).agg(F.count("*").alias("n"))
 
 
+def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted with the text of each document. Up to BROADCAST_ROWS rows of it (some numbers each, so about 20 MB) go to where the
+    texts are; beyond that both sides are shuffled."""
+    wanted = cut(wanted, "wanted")
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return _marked(docs).join(F.broadcast(wanted) if few else wanted, _same_document())
+
+
 def _block_edges(docs: DataFrame, large: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(u, v, n) as `_edges`, by lists of equal blocks within a cluster; a list in which no set asks has none."""
 
@@ -388,7 +398,7 @@ def _block_edges(docs: DataFrame, large: DataFrame, width: int, num: int, den: i
                         out.append((node, root, keys[asks].view(np.int64).tolist(), keys[~asks].view(np.int64).tolist()))
             yield out
 
-    fetched = _marked(docs).join(large.select("node", "root", "id", "id_mark"), _same_document()).select("text", "node", "root")
+    fetched = _fetched(docs, large.select("node", "root", "id", "id_mark")).select("text", "node", "root")
     listed = cut(stream_task(fetched, task, "node long, root long, asked array<long>, offered array<long>"), "blocks")
     entry = listed.select("node", "root", F.explode("asked").alias("k"), F.lit(0).alias("quiet")).unionAll(listed.select("node", "root", F.explode("offered"), F.lit(1)))
     entry = entry.select(F.xxhash64("root", "k").alias("key"), "node", "quiet")
@@ -416,7 +426,7 @@ def _solved(docs: DataFrame, dealt: DataFrame, width: int, num: int, den: int, p
                     out += [(root, b, b, node, b, raw) for b in ((mine,) if kind == 1 else range(g))]
             yield out
 
-    fetched = _marked(docs).join(dealt, _same_document()).select("text", "node", "root", "blocks", "kind")
+    fetched = _fetched(docs, dealt).select("text", "node", "root", "blocks", "kind")
     sets = stream_task(fetched, read_task, "root long, a int, b int, node long, mine int, s binary")
     sets = sets.repartition(parts, "root", "a", "b").sortWithinPartitions("root", "a", "b", "node")
 
