@@ -49,8 +49,8 @@ SLACK = 0.25
 BLOCK_TOKENS, SET_TOKENS = 150_000, 30
 #: Sampled shingles of a chunk of documents.
 CHUNK_TOKENS = 1_000_000
-#: Rows of a table that may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Logarithm of the bits of the map that tells which texts to fetch: at most 2^18 rows of two numbers are broadcast.
+BITMAP_BITS = 24
 #: Overlaps that a task remembers.
 KNOWN = 200_000
 #: Positions in one block of an index list, and sets in it.
@@ -377,11 +377,14 @@ def _edges(entry: DataFrame, by: str) -> DataFrame:
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted with the text of each document. Up to BROADCAST_ROWS rows of it (some numbers each, so about 20 MB) go to where the
-    texts are; beyond that both sides are shuffled."""
+    """wanted with the text of each document. Spark broadcasts wanted (some numbers a row) while it is below its threshold; beyond
+    that both sides are shuffled, and a bitmap of bounded size keeps most texts that are not wanted out of the shuffle."""
     wanted = cut(wanted, "wanted")
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return _marked(docs).join(F.broadcast(wanted) if few else wanted, _same_document())
+    bit = F.shiftrightunsigned(F.xxhash64("id", "id_mark"), 64 - BITMAP_BITS)
+    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
+    texts = _marked(docs).withColumn("bit", F.shiftrightunsigned(F.xxhash64("doc_id", "mark"), 64 - BITMAP_BITS)).withColumn("word", F.shiftright("bit", 6))
+    texts = texts.join(F.broadcast(cut(words, "bitmap")), "word").filter("getbit(bits, cast(bit & 63 as int)) = 1").select("doc_id", "text", "mark")
+    return texts.join(wanted, _same_document())
 
 
 def _block_edges(docs: DataFrame, large: DataFrame, width: int, num: int, den: int) -> DataFrame:

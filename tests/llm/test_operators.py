@@ -223,6 +223,24 @@ def test_keep_one_judges_rows_not_ids(spark):
     assert kept == collections.Counter([(None, c), (None, d), (3, a), (5, b), (7, ""), (7, ""), (None, None), (None, " ")])
 
 
+def test_fetched_texts_are_the_wanted_ones(spark):
+    """Whether Spark may broadcast the wanted rows or not; repeated rows, null ids and copies under other ids."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i % 500 if i % 7 else None, f"text {i % 300}") for i in range(2000)], "doc_id long, text string")
+    wanted = df.filter("doc_id is null or doc_id < 40").distinct().select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("id_mark"), F.lit(1).alias("root"))
+    want = collections.Counter((r["doc_id"], r["text"]) for r in df.collect() if r["doc_id"] is None or r["doc_id"] < 40)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in (before, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            got = collections.Counter((r["doc_id"], r["text"]) for r in jaccard_join._fetched(df, wanted).collect())
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert got == want
+    assert jaccard_join._fetched(df, wanted.limit(0)).count() == 0
+
+
 def test_solver_answers_are_exact():
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 60, 120, dtype=np.uint64)
