@@ -4,7 +4,8 @@ steps (Kiveris et al., 2014) between them.
 Batches are of bounded size and replace their edges by stars, a pre-aggregation that no hub can outgrow. A step is a partial
 aggregation (the least neighbour) and a join with one row per node. The aggregate is written first: a join of two plain
 exchanges can be split by Spark where a hub has many edges. Edges stay in the shared folder between steps, those of a past
-round are deleted; the driver learns only whether the edges are stars."""
+round are deleted; the driver learns only how many edges are left and whether they are stars. Rounds end when a batch holds all
+edges that are left: no task ever unites more than a batch."""
 
 from __future__ import annotations
 
@@ -68,7 +69,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the least node reachable. edges: columns u, v; nodes without an edge to another are absent."""
     now = _contract(edges)
     for _ in range(MAX_ROUNDS):
-        if _settled(now):
+        last = now.count() <= BATCH
+        if last:  # what is left is one batch: united at once, it needs no further rounds
+            old, now = now, _contract(now.coalesce(1))
+            drop(old)
+        if last or _settled(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         joined, first = _step(now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         # after a large-star every edge goes to a lesser node

@@ -241,6 +241,20 @@ def test_fetched_texts_are_the_wanted_ones(spark):
     assert jaccard_join._fetched(df, wanted.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("batch", [400_000, 3])
+def test_components(spark, monkeypatch, batch):
+    """A long path, a hub, repeated and reversed edges and loops; once with a single last batch, once by rounds."""
+    from brindle.llm import components
+
+    monkeypatch.setattr(components, "BATCH", batch)
+    edges = [(k, k + 1) for k in range(100, 140)] + [(k, 500) for k in range(501, 560)] + [(7, 3), (3, 7), (7, 3), (9, 9), (560, 559)]
+    random.Random(4).shuffle(edges)
+    want = {**dict.fromkeys(range(100, 141), 100), **dict.fromkeys(range(500, 561), 500), 3: 3, 7: 3}
+    got = [(r["node"], r["root"]) for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_solver_answers_are_exact():
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 60, 120, dtype=np.uint64)
