@@ -59,6 +59,16 @@ def shape(new: DataFrame, d: Definition) -> DataFrame:
     return out.select(*d.columns)
 
 
+def recompute(table: DataFrame, d: Definition) -> DataFrame:
+    """Generated columns after a change of those that they are computed from."""
+    from brindle.functions.dialect import SPARK_TYPES, affinity
+
+    for c, r in d.columns.items():
+        if r.generated and c in table.columns:
+            table = table.withColumn(c, F.expr(r.generated).cast(SPARK_TYPES[affinity(r.type)]))
+    return table
+
+
 def insert(table: DataFrame, new: DataFrame) -> DataFrame:
     return table.unionByName(new)
 

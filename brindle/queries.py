@@ -12,7 +12,7 @@ from brindle.functions import dialect as d
 from brindle.functions import jsonfn, mathfn, strings
 from brindle.operators import aggregates as agg
 from brindle.operators import dml, joins, recursion, search, setops, spatial, windows
-from brindle.plans import frontend
+from brindle.plans import frontend, statements
 from brindle.session import register, table
 from brindle.sources import catalog, tvf
 
@@ -624,3 +624,59 @@ def dml_upsert_null_keys(spark, t):
     old = spark.createDataFrame([(None, "keep"), (1, "one")], "k int, name string")
     new = spark.createDataFrame([(None, "new", 1), (1, "one?", 2), (1, "one!", 3), (2, "two", 4)], "k int, name string, at int")
     return dml.upsert(old.withColumn("at", F.lit(0)), new, ["k"], {"name": "excluded.name"}, order="at").select("k", "name")
+
+
+# --- changes as SQL text --------------------------------------------------------------------------------------------
+
+
+def _database(spark, t, *names: str) -> catalog.Database:
+    for n in names:
+        t(n).createOrReplaceTempView(n)
+    return catalog.Database(spark)
+
+
+@q("select coalesce(o.s_suppkey, n.k) as s_suppkey, coalesce(o.s_name, 'new') as s_name, case when o.s_suppkey is null then 1.0 when n.k is null then o.s_acctbal else o.s_acctbal + 1.0 end as s_acctbal from supplier o full join (select s_suppkey + 5 as k from supplier where s_nationkey < 10) n on o.s_suppkey = n.k")
+def sql_text_upsert(spark, t):
+    return statements.execute(_database(spark, t, "supplier"), """
+        create table text_supplier (s_suppkey integer primary key, s_name text not null, s_acctbal real);
+        insert into text_supplier select s_suppkey, s_name, s_acctbal from supplier;
+        insert into text_supplier select s_suppkey + 5, 'new', 1.0 from supplier where s_nationkey < 10
+            on conflict (s_suppkey) do update set s_acctbal = s_acctbal + excluded.s_acctbal;
+        select s_suppkey, s_name, s_acctbal from text_supplier""")
+
+
+@q("select * from (select o_orderkey, case when o_orderstatus = 'F' then o_totalprice * 2 else o_totalprice end as price from orders) where price >= 50000")
+def sql_text_update_delete(spark, t):
+    return statements.execute(_database(spark, t, "orders"), """
+        create table text_orders as select o_orderkey, o_orderstatus, o_totalprice as price from orders;
+        update text_orders set price = price * 2 where o_orderstatus = 'F';
+        delete from text_orders where price < 50000;
+        select o_orderkey, price from text_orders""")
+
+
+@q("select s_suppkey, s_nationkey from supplier where s_nationkey not in (select n_nationkey from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA')")
+def sql_text_cascade(spark, t):
+    return statements.execute(_database(spark, t, "region", "nation", "supplier"), """
+        create table text_region (r_regionkey integer primary key, r_name text);
+        create table text_nation (n_nationkey integer primary key, n_regionkey integer references text_region (r_regionkey) on delete cascade);
+        create table text_seller (s_suppkey integer primary key, s_nationkey integer references text_nation (n_nationkey) on delete cascade);
+        insert into text_region select r_regionkey, r_name from region;
+        insert into text_nation select n_nationkey, n_regionkey from nation;
+        insert into text_seller select s_suppkey, s_nationkey from supplier;
+        delete from text_region where r_name = 'ASIA';
+        select s_suppkey, s_nationkey from text_seller""")
+
+
+@q("select c_custkey as k, c_acctbal as v, c_acctbal * 2 as twice from customer where c_nationkey = 3")
+def sql_text_returning(spark, t):
+    return statements.execute(_database(spark, t, "customer"), """
+        create table text_returned (k integer primary key, v real, g real generated always as (v * 2));
+        insert into text_returned (k, v) select c_custkey, c_acctbal from customer where c_nationkey = 3 returning k, v, g as twice""")
+
+
+@q("select p_partkey, p_size from part")
+def sql_text_savepoint(spark, t):
+    return statements.execute(_database(spark, t, "part"), """
+        create table text_part as select p_partkey, p_size from part;
+        begin; update text_part set p_size = 0; savepoint s; delete from text_part; rollback to s; rollback;
+        select p_partkey, p_size from text_part""")

@@ -39,6 +39,7 @@ class Database:
     indexes: dict[str, tuple[str, list[str], bool, str | None]] = field(default_factory=dict)
     triggers: dict[str, Trigger] = field(default_factory=dict)
     attached: dict[str, "Database"] = field(default_factory=dict)
+    savepoints: list[tuple[str, tuple]] = field(default_factory=list)
     changes: int = 0
     total_changes: int = 0
     _depth: int = 0
@@ -110,28 +111,67 @@ class Database:
         self._swap(table, self.tables[table].drop(name))
 
     # --- DML ---
-    def insert(self, table: str, new: DataFrame, on_conflict: str = "ABORT") -> DataFrame:
-        """The inserted rows (RETURNING)."""
+    def _keys(self, table: str, only: list[str] | None = None) -> list[list[str]]:
+        """The columns that must be unique together: primary key, UNIQUE, whole unique indexes; or those named."""
         d = self.definitions[table]
-        rows = cut(dml.shape(new, d))
-        old = self.tables[table]
+        keys = [d.primary_key, *d.unique, *[columns for t, columns, unique, where in self.indexes.values() if t == table and unique and not where]]
+        keys = [k for k in keys if k]
+        if only is None:
+            return keys
+        if not any(sorted(k) == sorted(only) for k in keys):
+            raise ValueError("ON CONFLICT clause does not match any PRIMARY KEY or UNIQUE constraint")
+        return [only]
+
+    def _numbered(self, table: str, rows: DataFrame) -> DataFrame:
+        """Rows without a value in a single INTEGER key get the numbers after the largest, in the order of `__at`."""
+        d = self.definitions[table]
+        if len(d.primary_key) != 1 or d.columns[d.primary_key[0]].type.upper() != "INTEGER":
+            return rows
+        key = d.primary_key[0]
+        blank, given = rows.filter(F.col(key).isNull()), rows.filter(F.col(key).isNotNull())
+        if blank.isEmpty():
+            return rows
+        top = self.tables[table].select(key).unionAll(given.select(key)).agg(F.max(key)).first()[0] or 0
+        fresh = sequence_key(blank.drop(key), key, [F.col("__at")]).withColumn(key, F.col(key) + top)
+        return cut(given.unionByName(fresh.select(*rows.columns)))
+
+    def _new_rows(self, table: str, new: DataFrame) -> DataFrame:
+        """The new rows in the table's shape, with their order in `__at`, written once."""
+        d = self.definitions[table]
+        return self._numbered(table, cut(dml.shape(new, d).withColumn("__at", F.monotonically_increasing_id())))
+
+    def insert(self, table: str, new: DataFrame, on_conflict: str = "ABORT", key: list[str] | None = None) -> DataFrame:
+        """The inserted rows (RETURNING). IGNORE keeps the first of rows that conflict and REPLACE the last, for every unique key
+        (IGNORE: only for `key`, if given), one key after the other."""
+        d, old = self.definitions[table], self.tables[table]
+        rows = self._new_rows(table, new)
         if on_conflict == "IGNORE":
             bad = [c for c, r in d.columns.items() if r.not_null]
-            rows = cut((rows.dropna(subset=bad) if bad else rows).dropDuplicates(d.primary_key).join(old, dml._keys(rows, old, d.primary_key), "left_anti"))
-            result = dml.insert(old, rows)
+            rows = (rows.dropna(subset=bad) if bad else rows).withColumn("__at", -F.col("__at"))
+            for k in self._keys(table, key):
+                fresh = dml._one_per_key(rows, k, "__at")
+                rows = fresh.join(old, dml._keys(fresh, old, k), "left_anti")
         elif on_conflict == "REPLACE":
-            result = dml.insert_or_replace(old, rows, d.primary_key)
-        else:
-            result = dml.insert(old, rows)
+            for k in self._keys(table):
+                rows = dml._one_per_key(rows, k, "__at")
+            rows = cut(rows)
+            for k in self._keys(table):
+                old = old.join(rows, dml._keys(old, rows, k), "left_anti")
+        rows = cut(rows.drop("__at")) if on_conflict == "IGNORE" else rows.drop("__at")
         self._fire(table, "BEFORE", "INSERT", rows)
-        self._commit(table, result, rows.count())
+        self._commit(table, dml.insert(old, rows), rows.count())
         self._fire(table, "AFTER", "INSERT", rows)
         return rows
 
-    def upsert(self, table: str, new: DataFrame, assign: dict[str, str], where: str | None = None) -> None:
+    def upsert(self, table: str, new: DataFrame, assign: dict[str, str], where: str | None = None, key: list[str] | None = None) -> DataFrame:
+        """The rows of the table after the change that share their key with a new row. The key is the primary key if not named."""
         d = self.definitions[table]
-        rows = cut(dml.shape(new, d))
-        self._commit(table, dml.upsert(self.tables[table], rows, d.primary_key, assign, where), rows.count())
+        key = self._keys(table, key)[0]
+        rows = self._new_rows(table, new)
+        result = dml.upsert(self.tables[table].withColumn("__at", F.lit(0).cast("bigint")), rows, key, assign, where, order="__at")
+        self._commit(table, dml.recompute(result.drop("__at"), d), rows.count())
+        now = self.tables[table]
+        return now.join(rows, dml._keys(now, rows, key), "left_semi")
 
     def update(self, table: str, assign: dict[str, str], where: str = "true") -> DataFrame:
         """The new rows (RETURNING)."""
@@ -139,23 +179,43 @@ class Database:
         names = old.columns
         hit = cut(old.filter(where).select(F.struct(*names).alias("old"), F.struct(*[F.expr(assign[c]).cast(t).alias(c) if c in assign else F.col(c) for c, t in old.dtypes]).alias("new")))
         self._fire(table, "BEFORE", "UPDATE", hit)
-        self._commit(table, dml.update(old, {c: F.expr(v).cast(dict(old.dtypes)[c]) for c, v in assign.items()}, F.expr(where)), hit.count())
+        changed = dml.update(old, {c: F.expr(v).cast(dict(old.dtypes)[c]) for c, v in assign.items()}, F.expr(where))
+        self._commit(table, dml.recompute(changed, self.definitions[table]), hit.count())
         self._fire(table, "AFTER", "UPDATE", hit)
-        return hit.select("new.*")
+        return dml.recompute(hit.select("new.*"), self.definitions[table])
 
     def delete(self, table: str, where: str = "true") -> DataFrame:
-        """The deleted rows; children follow their ON DELETE action."""
-        old = self.tables[table]
-        gone = cut(old.filter(where))
-        self._fire(table, "BEFORE", "DELETE", gone)
+        """The deleted rows; children follow their ON DELETE action, and theirs in turn. A refusal leaves every table as it was."""
+        before = self.snapshot()
+        gone = cut(self.tables[table].filter(where))
+        try:
+            self._fire(table, "BEFORE", "DELETE", gone)
+            kept = self.tables[table].filter(~F.coalesce(F.expr(where), F.lit(False)))
+            self._swap(table, cut(kept))
+            self._children(table, gone)
+            self._commit(table, self.tables[table], gone.count())
+            self._fire(table, "AFTER", "DELETE", gone)
+        except Exception:
+            self.rollback(before)
+            raise
+        return gone
+
+    def _children(self, table: str, gone: DataFrame) -> None:
+        """Apply ON DELETE to the tables that refer to rows that have gone."""
         for child, d in list(self.definitions.items()):
             for columns, parent, key, action in d.foreign:
-                if parent == table:
-                    defaults = {c: r.default for c, r in d.columns.items() if r.default}
-                    self._swap(child, cut(dml.on_delete(self.tables[child], columns, gone, key, action, defaults)))
-        self._commit(table, dml.delete(old, F.expr(where)), gone.count())
-        self._fire(table, "AFTER", "DELETE", gone)
-        return gone
+                if parent != table:
+                    continue
+                defaults = {c: r.default for c, r in d.columns.items() if r.default}
+                rows = self.tables[child]
+                after = cut(dml.on_delete(rows, columns, gone, key, action, defaults))
+                self._swap(child, after)
+                if action == "CASCADE":
+                    lost = cut(rows.join(gone, [rows[c] == gone[k] for c, k in zip(columns, key)], "left_semi"))
+                    if not lost.isEmpty():
+                        self._children(child, lost)
+                elif action.startswith("SET"):
+                    dml.verify(after, d, self.tables)
 
     def _commit(self, table: str, df: DataFrame, n: int) -> None:
         """Write, verify, swap: a failed check leaves the old table."""
