@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 #: Rows of an Arrow batch where the session leaves Spark's default of 10,000: rows are whole texts here, and the JVM holds a
 #: batch outside of its heap, several times over while it grows.
 BATCH_ROWS = 1_000
+#: Rows that the Parquet reader decodes at once where the session leaves Spark's default of 4,096: it holds their texts in one
+#: array, doubled while it grows, and a heap that has grown for such arrays does not soon shrink.
+READER_ROWS = 1_024
 #: Rows handed to Python code at once after slicing an Arrow batch; bounds the decoded strings alive at a time.
 SLICE_ROWS = 256
 
@@ -61,10 +64,12 @@ def drop(df: DataFrame) -> None:
 
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers of the session's context, once: they need not have it installed. Also bound the
-    session's Arrow batches, unless it has set them."""
+    session's Arrow and reader batches, unless it has set them."""
     context = spark.sparkContext
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096":
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
@@ -85,15 +90,22 @@ def warm(name: str, key: object, make: Callable[[], object]) -> object:
 
 def release(keep: str | None) -> None:
     """Drop what other operators keep in this worker: all operators of a session share its workers, and their states
-    together need not fit. Memory freed goes back to the system where the C library can do that."""
+    together need not fit."""
     others = [name for name in _warm if name != keep]
     for name in others:
         del _warm[name]
     if others:
         gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Memory freed goes back to the system, from Arrow's pool and where the C library can do that: an idle worker would hold it
+    beside the one that works."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def pick(df: DataFrame, *cols: tuple[str, str]) -> DataFrame:
@@ -130,6 +142,8 @@ def stream_task(df: DataFrame, task: Callable[[Iterator[list[list]]], Iterator[l
         for rows in task(slices(batches)):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+        rows = None
+        give_back()
 
     return df.mapInArrow(run, out)
 

@@ -22,6 +22,7 @@ null; extra columns are ignored; an empty table gives no pieces. Very long texts
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -55,6 +56,8 @@ class TokenizerChunks:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # a task has one core: the library's threads would take those of other tasks, and each keeps memory of its own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
         self.table = ChunkTable(self._learn, MEMORY_CHUNKS)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]

@@ -1,12 +1,18 @@
 """The pipeline's stages, each against its operator's own decisions, and their edge cases."""
 
+import ctypes
 import os
+import re
+import subprocess
+import sys
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brindle.llm import quality_rules, secret_scan, toxicity
+from brindle.llm import common, quality_rules, secret_scan, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -46,3 +52,61 @@ def test_stage_edges(spark, rows, tmp_path):
     docs = spark.createDataFrame(rows, COLUMNS).withColumn("node", F.lit("clash"))
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, str(tmp_path)).collect()
+
+
+def test_an_idle_worker_holds_no_freed_memory(monkeypatch):
+    """Stages share their workers: what a task has freed must not stay with its worker beside the next stage's memory."""
+    if not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("this C library keeps no freed memory, or does not give it back")
+    held = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) // 1024
+    peak, last = [], []
+
+    class Rows:
+        sparkSession = None
+
+        def mapInArrow(self, fn, schema):
+            return fn
+
+    def task(slices):
+        for (ids,) in slices:
+            texts = [bytes(1500) for _ in range(100_000)]
+            last.append(bytes(1500))  # lies behind the others: they are not at the end of the heap
+            peak.append(held())
+            del texts
+            yield [(i,) for i in ids]
+
+    monkeypatch.setattr(common, "ship", lambda spark: None)
+    run = common.stream_task(Rows(), task, "i long")
+    assert [b.to_pydict() for b in run(iter([pa.RecordBatch.from_pydict({"i": [1, 2]})]))] == [{"i": [1, 2]}]
+    assert held() < peak[0] - 100
+
+
+def test_packing_starts_no_threads():
+    """A task has one core; threads of the tokenizers library take those of others, and each keeps memory."""
+    code = """
+import os, public_tokenizers
+from brindle.llm import packing
+encode = packing.TokenizerChunks(public_tokenizers.path("byte_bpe_50k.json"))
+before = len(os.listdir("/proc/self/task"))
+encode([f"some text {i} of words" for i in range(2000)])
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    assert subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout.split() == ["0"]
+
+
+def test_batches_are_bounded_unless_the_session_sets_them(spark):
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": common.BATCH_ROWS, "spark.sql.parquet.columnarReaderBatchSize": common.READER_ROWS}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k in names:
+            spark.conf.unset(k)
+        common.ship(spark)
+        assert {k: spark.conf.get(k) for k in names} == {k: str(v) for k, v in names.items()}
+        for k in names:
+            spark.conf.set(k, 77)
+        common.ship(spark)
+        assert {spark.conf.get(k) for k in names} == {"77"}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
