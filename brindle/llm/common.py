@@ -41,11 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _scratch[spark.sparkContext.applicationId]
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage of df through a table in the shared folder; survives the loss of any executor."""
+def cut(df: DataFrame, tag: str, gather: bool = False) -> DataFrame:
+    """Cut the lineage of df through a table in the shared folder; survives the loss of any executor.
+
+    gather: many tasks give few numbers each, which are shuffled into files of Spark's advisory size. On a local disk Hadoop
+    starts three processes for a file (chmod), each of which has the JVM's memory as its own until it runs its program."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if gather else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -488,14 +488,14 @@ def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
         near = best.join(groups, "v").select(F.col("u").alias("node"), F.col("v").alias("root"), "blocks", F.lit(1).alias("kind"))
         near = near.unionAll(groups.select(F.col("v").alias("node"), F.col("v").alias("root"), "blocks", F.lit(2).alias("kind")))
         first = first.unionAll(near.join(sets, "node").select("node", "id", "id_mark", "root", "blocks", "kind"))
-    links = cut(_solved(docs, first, width, num, den, parts), "links")
+    links = cut(_solved(docs, first, width, num, den, parts), "links", gather=True)
     if any_large:
         # lists of large clusters whose sets are not yet one component: these sets are solved against each other
         inside = entry.join(large.select("node", F.col("root").alias("cluster")), "node").withColumn("key", F.xxhash64("key", "cluster"))
         mixed = inside.join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
         rest = _sized(components(_edges(cut(mixed, "mixed"), "part")), sets).select("node", "id", "id_mark", "root", "blocks", F.lit(0).alias("kind"))
         # written apart: what reads it is Python code too, and should not need a second worker beside each
-        links = links.unionAll(cut(_solved(docs, rest, width, num, den, parts), "links"))
+        links = links.unionAll(cut(_solved(docs, rest, width, num, den, parts), "links", gather=True))
 
     linked = cut(components(links).join(sets, "node").select("node", "root", "id"), "linked")
     least = cut(linked.groupBy("root").agg(F.min("id").alias("component_id")), "least")

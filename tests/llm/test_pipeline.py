@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brindle.llm import common, quality_rules, secret_scan, toxicity
+from brindle.llm import common, jaccard_join, quality_rules, secret_scan, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -110,3 +110,25 @@ def test_batches_are_bounded_unless_the_session_sets_them(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_links_of_many_tasks_are_few_files(spark, monkeypatch):
+    """Hadoop starts processes for each local file, and each counts the executor's memory again until it runs its program."""
+    files = {}
+
+    def spy(df, tag, **more):
+        out = common.cut(df, tag, **more)
+        files.setdefault(tag, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "cut", spy)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        words = [f"w{i}" for i in range(60)]
+        docs = [(2 * i + j, " ".join([f"own{i}", *(f"{w}_{i}" for w in words), *["last"] * j])) for i in range(60) for j in range(2)]
+        rows = jaccard_join.link(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: i - i % 2 for i, _ in docs}
+    assert max(files["links"]) <= 2
